@@ -20,7 +20,7 @@ from typeflow.functions.time import (
     resolve,
     weekday_name,
 )
-from typeflow.operators.common import looking_back
+from typeflow.operators.common import looking_back, starting
 from typeflow.operators.islands import daily_sessions, slices, with_times
 from typeflow.operators.rhythm import weekday_number
 
@@ -44,7 +44,7 @@ def active_sessions(
 def _unnumbered(kev: DataFrame, keys: Sequence[str], gap: str, since: datetime | None = None) -> DataFrame:
     """Sessions without numbers. They are split by date, so ``since`` needs the events of its own date on."""
     if since is not None:
-        kev = kev.filter(F.col("Timestamp") >= ntz(datetime(since.year, since.month, since.day)))
+        kev = starting(kev, "Timestamp", datetime(since.year, since.month, since.day), inclusive=True)
     sessions = with_times(daily_sessions(kev, keys, "Timestamp", fixed_micros(gap), numbered=False))
     return sessions if since is None else sessions.filter(F.col("session_start") > ntz(since))
 
