@@ -8,7 +8,7 @@ from tests import naive
 from tests.conftest import AS_OF
 from tests.rows import same_rows
 from typeflow.functions.time import fixed_micros, from_micros
-from typeflow.operators.islands import daily_sessions
+from typeflow.operators.islands import daily_sessions, day_divisor
 from typeflow.operators.sessions import (
     active_sessions,
     active_sessions_by_app,
@@ -96,6 +96,14 @@ def test_total_active_time(keys):
     assert (none.total_seconds, none.total_text) == (0.0, "")
 
 
+@pytest.mark.parametrize(
+    ("gap", "width"), [(600, 600), (420, 400), (86_400, 86_400), (200_000, 86_400), (86_399, 43_200)]
+)
+def test_slices_divide_the_day(gap, width):
+    assert day_divisor(gap * 1_000_000) == width * 1_000_000
+    assert day_divisor(0) == 1 and day_divisor(7) == 6
+
+
 def random_keys(seed, count=500):
     """Key events where one app has a third of the rows, with copies, threshold gaps and several days."""
     rng = random.Random(seed)

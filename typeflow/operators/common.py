@@ -40,11 +40,12 @@ def of_user(df: DataFrame, user: str | None) -> DataFrame:
     return df if user is None else df.filter(F.col("user_id") == F.lit(user))
 
 
-def join_same(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], never_null: Sequence[str] = (), how: str = "inner"
-) -> DataFrame:
-    """Equi-join keeping the key columns of the left side; NULLs in ``keys`` match each other."""
-    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in [*keys, *never_null]})
-    conditions = [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
-    conditions += [left[key] == renamed[f"_r_{key}"] for key in never_null]
-    return left.join(renamed, conditions, how).drop(*[f"_r_{key}" for key in [*keys, *never_null]])
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the key columns of the left side stay.
+
+    A null-safe join also adds no IS NOT NULL filter to one side, so where both sides come from the same shuffle
+    they stay alike and the shuffle is done once.
+    """
+    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+    same = [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{key}" for key in keys])

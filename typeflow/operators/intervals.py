@@ -29,7 +29,7 @@ def previous_moment(moments: DataFrame, keys: Sequence[str], stretch: int) -> Da
         .select(*keys, "stretch", "carried_us")
     )
     return (
-        join_same(local, carried, keys, ["stretch"])
+        join_same(local, carried, [*keys, "stretch"])
         .withColumn("prev_us", F.coalesce("local_prev", "carried_us"))
         .drop("stretch", "local_prev", "carried_us")
     )
@@ -51,7 +51,7 @@ def inter_key_interval(
     first = F.col(id_column) == F.col("first_id")
     interval = F.when(first, F.col("us") - F.col("prev_us")).when(~first, F.lit(0))
     return (
-        join_same(events, gaps, keys, ["us"], "left")
+        join_same(events, gaps, [*keys, "us"], "left")
         .withColumn("interval_us", interval.cast("long"))
         .drop("us", "first_id", "prev_us")
     )

@@ -18,6 +18,13 @@ from typeflow.functions.time import floor_to, from_micros, micros
 from typeflow.operators.common import join_same
 
 
+def day_divisor(gap: int) -> int:
+    """The longest length up to ``gap`` (at least a microsecond) that divides a day."""
+    # A day has 2^13 * 3^3 * 5^8 microseconds.
+    divisors = (2**a * 3**b * 5**c for a in range(14) for b in range(4) for c in range(9))
+    return max(d for d in divisors if d <= max(gap, 1))
+
+
 def slices(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,7 +51,10 @@ def daily_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: int, number
     one row per key and date.
     """
     keys = list(keys)
-    pieces = slices(df.withColumn("session_date", F.to_date(ts)), [*keys, "session_date"], micros(ts), gap)
+    # No slice reaches over midnight, so a slice knows its date.
+    pieces = slices(df, keys, micros(ts), day_divisor(gap)).withColumn(
+        "session_date", F.to_date(from_micros(F.col("slice")))
+    )
     day = Window.partitionBy(*keys, "session_date").orderBy("lo")
     parts = (
         pieces.withColumn("opens", F.coalesce(F.col("lo") - F.lag("hi").over(day) > F.lit(gap), F.lit(False)))
@@ -65,7 +75,7 @@ def daily_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: int, number
         .withColumn("before", F.sum(F.col("opens") + F.col("breaks")).over(history) - F.col("breaks"))
         .select(*keys, "session_date", "before")
     )
-    return join_same(parts, numbers, keys, ["session_date"]).select(
+    return join_same(parts, numbers, [*keys, "session_date"]).select(
         *keys, "session_date", (F.col("before") + F.col("part")).alias("session_number"), "lo", "hi"
     )
 
