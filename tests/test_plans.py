@@ -1,0 +1,105 @@
+"""The shape of the physical plans: what reaches the scan, what is shuffled, what is never done."""
+
+import re
+from datetime import timedelta
+
+import pytest
+
+import __spark_entry__ as registered
+from tests.conftest import AS_OF
+from typeflow.operators.counters import now_stats, recent_events
+from typeflow.operators.flows import speed_by_time_of_day, typing_speed
+from typeflow.operators.intervals import inter_key_interval
+from typeflow.operators.rhythm import time_of_day, time_of_day_dense
+from typeflow.operators.sessions import active_sessions, active_sessions_by_app, recent_sessions_by_app, session_times
+from typeflow.operators.sites import site_reach, top_sites
+from typeflow.session import new_folder
+
+SF_DIR = "/root/testdata/sf0.001"
+BATCH_ONLY = [name for name in registered.queries() if name[0] == "q" and not name.startswith(("q35_app", "q38"))]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    from tests.conftest import EVENT_SCHEMA, KEY_SCHEMA
+
+    rows = [(i, AS_OF - timedelta(minutes=i), "u", "s", "a.com", True, False, False) for i in range(20)]
+    ev_path, kev_path = new_folder(spark, "plan-events"), new_folder(spark, "plan-keys")
+    spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(ev_path)
+    spark.createDataFrame([(r[0], r[1], "a") for r in rows], KEY_SCHEMA).write.parquet(kev_path)
+    return spark.read.parquet(ev_path), spark.read.parquet(kev_path)
+
+
+@pytest.mark.parametrize("name", BATCH_ONLY)
+def test_no_cartesian_or_nested_loop_join(spark, name):
+    plan = plan_of(registered.queries()[name](spark, SF_DIR))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_cutoffs_and_columns_reach_the_scan(spark, tables):
+    ev, kev = tables
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    for df, columns in (
+        (typing_speed(ev, AS_OF), {"record_time", "user_id", "session_id", "source_url", "is_return"}),
+        (session_times(ev, AS_OF, user="u"), {"record_time", "user_id"}),
+        (time_of_day(ev, AS_OF), {"record_time"}),
+        (top_sites(ev, AS_OF), {"record_time", "source_url"}),
+        (now_stats(ev, AS_OF), {"record_time", "is_return", "is_end_of_word", "is_end_of_line"}),
+    ):
+        scan = re.search(r"PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>", plan_of(df))
+        assert "record_time" in scan.group(1)
+        assert {column.split(":")[0] for column in scan.group(2).split(",")} == columns
+    assert "GreaterThanOrEqual(Timestamp,2024-03-09" in plan_of(recent_sessions_by_app(kev, AS_OF))
+
+
+def exchanges(plan: str) -> list[tuple[str, str]]:
+    """Each shuffle with the operator that feeds it."""
+    lines = [re.sub(r"^[\s:+\-]*(\*\(\d+\) )?", "", line) for line in plan.splitlines()]
+    return [(line, lines[i + 1]) for i, line in enumerate(lines) if line.startswith("Exchange ")]
+
+
+@pytest.mark.parametrize("operator", [typing_speed, session_times, speed_by_time_of_day, time_of_day, time_of_day_dense])
+def test_events_are_aggregated_before_their_first_shuffle(tables, operator):
+    ev, _ = tables
+    feeders = [below for _, below in exchanges(plan_of(operator(ev) if operator is time_of_day_dense else operator(ev, AS_OF)))]
+    assert feeders[-1].startswith(("HashAggregate", "WindowGroupLimit"))
+    assert not any(below.startswith(("FileScan", "ColumnarToRow", "Filter (isnotnull(record_time")) for below in feeders)
+
+
+def test_sessions_aggregate_before_the_shuffle_and_share_it(tables):
+    _, kev = tables
+    plan = plan_of(active_sessions(kev, AS_OF))
+    single = [below for line, below in exchanges(plan) if "SinglePartition" in line]
+    # What meets in one task is one row per date.
+    assert len(single) == 1 and single[0].startswith("HashAggregate(keys=[session_date")
+    for operator in (lambda: active_sessions_by_app(kev), lambda: active_sessions(kev, AS_OF)):
+        df = operator()
+        df.collect()
+        final = plan_of(df).split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_second_newest_event_is_pruned_before_the_shuffle(tables):
+    plan = plan_of(session_times(tables[0], AS_OF))
+    assert "row_number(), 2, Partial" in plan and "row_number(), 2, Final" in plan
+
+
+def test_top_rows_are_taken_without_a_full_sort(tables):
+    for df in (top_sites(tables[0], AS_OF), recent_events(tables[0], AS_OF)):
+        assert "TakeOrderedAndProject" in plan_of(df)
+
+
+def test_distinct_users_spread_over_host_and_user(tables):
+    shuffled = [line for line, _ in exchanges(plan_of(site_reach(tables[0])))]
+    assert any("url" in line and "user_id" in line for line in shuffled)
+
+
+def test_intervals_never_window_a_whole_key(tables):
+    plan = plan_of(inter_key_interval(tables[1], ["App"]))
+    windows = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan)
+    assert windows and all("stretch" in window for window in windows)

@@ -40,12 +40,16 @@ def of_user(df: DataFrame, user: str | None) -> DataFrame:
     return df if user is None else df.filter(F.col("user_id") == F.lit(user))
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_same(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], first: str | None = None, how: str = "inner"
+) -> DataFrame:
     """Equi-join in which NULL keys match each other; the key columns of the left side stay.
 
     A null-safe join also adds no IS NOT NULL filter to one side, so where both sides come from the same shuffle
-    they stay alike and the shuffle is done once.
+    they stay alike and the shuffle is done once. ``first`` names a selective key without NULLs to sort by first.
     """
-    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
-    same = [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
-    return left.join(renamed, same, how).drop(*[f"_r_{key}" for key in keys])
+    names = list(keys) if first is None else [first, *keys]
+    renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
+    same = [left[first] == renamed[f"_r_{first}"]] if first is not None else []
+    same += [left[key].eqNullSafe(renamed[f"_r_{key}"]) for key in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{name}" for name in names])

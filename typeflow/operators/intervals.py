@@ -14,24 +14,25 @@ from typeflow.operators.common import join_same
 def previous_moment(moments: DataFrame, keys: Sequence[str], stretch: int) -> DataFrame:
     """Adds ``prev_us``, the moment before ``us`` of the same key, to distinct (keys, us) rows.
 
-    History is cut into stretches that are sorted apart; the first moment of a stretch takes the last one of the
-    key's previous stretch from a table of one row per key and stretch.
+    History is cut into stretches that are sorted apart. Each stretch also receives the last moment of the key's
+    stretch before it, from a table of one row per key and stretch, so that its first moment finds it by ``lag``.
     """
     keys = list(keys)
-    cut = moments.withColumn("stretch", floor_to(F.col("us"), stretch))
-    inside = Window.partitionBy(*keys, "stretch").orderBy("us")
-    local = cut.withColumn("local_prev", F.lag("us").over(inside))
+    cut = moments.withColumn("stretch", floor_to(F.col("us"), stretch)).withColumn("carried", F.lit(False))
     along = Window.partitionBy(*keys).orderBy("stretch")
-    carried = (
+    last = (
         cut.groupBy(*keys, "stretch")
         .agg(F.max("us").alias("last_us"))
-        .withColumn("carried_us", F.lag("last_us").over(along))
-        .select(*keys, "stretch", "carried_us")
+        .withColumn("us", F.lag("last_us").over(along))
+        .filter(F.col("us").isNotNull())
+        .select(*keys, "stretch", "us", F.lit(True).alias("carried"))
     )
+    inside = Window.partitionBy(*keys, "stretch").orderBy("us")
     return (
-        join_same(local, carried, [*keys, "stretch"])
-        .withColumn("prev_us", F.coalesce("local_prev", "carried_us"))
-        .drop("stretch", "local_prev", "carried_us")
+        cut.unionByName(last, allowMissingColumns=True)
+        .withColumn("prev_us", F.lag("us").over(inside))
+        .filter(~F.col("carried"))
+        .drop("stretch", "carried")
     )
 
 
@@ -51,7 +52,7 @@ def inter_key_interval(
     first = F.col(id_column) == F.col("first_id")
     interval = F.when(first, F.col("us") - F.col("prev_us")).when(~first, F.lit(0))
     return (
-        join_same(events, gaps, [*keys, "us"], "left")
+        join_same(events, gaps, keys, "us", "left")
         .withColumn("interval_us", interval.cast("long"))
         .drop("us", "first_id", "prev_us")
     )
