@@ -21,6 +21,7 @@ from typeflow.functions.time import (
     span,
     weekday_name,
 )
+from typeflow.session import use_utc
 
 
 @pytest.mark.parametrize(
@@ -74,6 +75,17 @@ def test_micros_are_exact_before_and_after_the_epoch(spark):
         assert row.floor <= row.us < row.floor + 7 * SECOND and (row.floor - 3) % (7 * SECOND) == 0
 
 
+def test_other_session_zones_are_refused(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(RuntimeError):
+            micros("t")
+        use_utc(spark)
+        micros("t")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_milliseconds_take_the_seconds_field(spark):
     row = spark.range(1).select(
         milliseconds(F.lit(65_123_900)).alias("field"), milliseconds(F.lit(65_123_900), "elapsed").alias("elapsed")

@@ -2,7 +2,7 @@
 
 Event times carry no zone (TIMESTAMP_NTZ). Inside the operators they are handled as whole microseconds since
 1970-01-01, so gaps, windows and buckets are exact integer arithmetic. The conversion goes through the session
-zone and therefore expects ``spark.sql.session.timeZone`` to be UTC (``typeflow.session`` sets it).
+zone, so ``spark.sql.session.timeZone`` has to be UTC (``typeflow.session`` sets it); another zone is refused.
 
 Reference instants (``as_of``) and text intervals ('6 hours', '1 month') are resolved on the driver, so every
 cutoff enters the plan as a literal that reaches the parquet scan.
@@ -15,7 +15,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -25,6 +25,8 @@ DAY = 24 * HOUR
 
 EPOCH = datetime(1970, 1, 1)
 
+_UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 _UNIT_MICROS = {
     "microsecond": 1,
     "millisecond": 1_000,
@@ -119,6 +121,9 @@ def ntz(moment: datetime) -> Column:
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch of a zone-less timestamp."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") not in _UTC_NAMES:
+        raise RuntimeError("set spark.sql.session.timeZone to UTC (typeflow.session.use_utc)")
     column = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(column.cast("timestamp"))
 
@@ -129,7 +134,7 @@ def from_micros(us: Column) -> Column:
 
 def floor_to(us: Column, width: int, origin: int = 0) -> Column:
     """Largest ``origin + k * width`` not above ``us``."""
-    return us - F.pmod(us - F.lit(origin), F.lit(width))
+    return us - F.pmod(us - origin if origin else us, F.lit(width))
 
 
 def day_of(us: Column) -> Column:
@@ -139,8 +144,7 @@ def day_of(us: Column) -> Column:
 
 def bin_in_day(us: Column, width: int) -> Column:
     """Start of the bucket holding ``us``; buckets restart at every midnight."""
-    offset = F.pmod(us, F.lit(DAY))
-    return us - F.pmod(offset, F.lit(width))
+    return us - F.pmod(F.pmod(us, F.lit(DAY)), F.lit(width))
 
 
 def minute_of_day(us: Column) -> Column:

@@ -23,7 +23,6 @@ from typeflow.functions.time import (
     resolve,
     shift,
     span,
-    whole_micros,
 )
 from typeflow.operators.common import looking_back
 from typeflow.operators.islands import slices
@@ -76,6 +75,8 @@ def _flow_stats(ev: DataFrame, spine: WindowSpine, gap: int, ms: str) -> DataFra
     Intervals inside a slice sum up to ``hi - lo`` and the one to the next slice is ``lead(lo) - hi``, so the mean
     over a flow's events, which includes the pause that ends it, needs no event-level window.
     """
+    if ms not in ("field", "elapsed"):
+        raise ValueError("ms must be 'field' or 'elapsed'")
     keys = ["user_id", "window_us", "source_url", "session_id"]
     us = micros("record_time")
     # The seconds field wraps at a minute: slices stay below one so that only slice-to-slice intervals can wrap.
@@ -84,22 +85,24 @@ def _flow_stats(ev: DataFrame, spine: WindowSpine, gap: int, ms: str) -> DataFra
     pieces = slices(
         placed, keys, us, width, spine.first, [F.sum(F.col("is_return").cast("int")).alias("errors")]
     )
-    order = Window.partitionBy(*keys).orderBy("lo")
-    pause = F.col("lo") - F.lag("hi").over(order)
-    after = F.lead("lo").over(order) - F.col("hi")
+    order = f"(partition by {', '.join(keys)} order by lo)"
+    after = "after % 60000000" if ms == "field" else "after"
     return (
-        pieces.withColumn("opens", F.coalesce(pause > F.lit(gap), F.lit(False)).cast("long"))
-        .withColumn("after", after)
-        .withColumn("flow_id", F.sum("opens").over(order))
+        pieces.selectExpr(
+            "*",
+            f"lead(lo) over {order} - hi as after",
+            f"cast(coalesce(lo - lag(hi) over {order} > {gap}, false) as bigint) as opens",
+        )
+        .selectExpr("*", f"sum(opens) over {order} as flow_id")
         .groupBy(*keys, "flow_id")
         .agg(
-            F.sum("n").alias("n"),
-            F.sum("errors").alias("errors"),
-            F.sum(F.col("hi") - F.col("lo") + F.coalesce(whole_micros(F.col("after"), ms), F.lit(0))).alias("us"),
-            F.sum(F.col("n") - F.when(F.col("after").isNull(), 1).otherwise(0)).alias("intervals"),
+            F.expr("sum(n) as n"),
+            F.expr("sum(errors) as errors"),
+            F.expr(f"sum(hi - lo + coalesce({after}, 0)) as us"),
+            F.expr("sum(n - if(after is null, 1, 0)) as intervals"),
         )
-        .filter(F.col("n") > 1)
-        .withColumn("avg_ms", F.col("us") / F.lit(1000.0) / F.col("intervals"))
+        .filter("n > 1")
+        .withColumn("avg_ms", F.expr("us / 1000D / intervals"))
     )
 
 
@@ -125,36 +128,33 @@ def typing_speed(
         _flow_stats(recent, spine, fixed_micros(flow_gap), ms)
         .groupBy("user_id", "window_us")
         .agg(
-            (F.sum(F.col("avg_ms") * F.col("n")) / F.sum("n")).alias("speed"),
-            F.coalesce(F.stddev_samp("avg_ms"), F.lit(0.0)).alias("volatility"),
-            F.sum("n").alias("event_count"),
-            F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"),
+            F.expr("sum(avg_ms * n) / sum(n) as speed"),
+            F.expr("coalesce(stddev_samp(avg_ms), 0D) as volatility"),
+            F.expr("sum(n) as event_count"),
+            F.expr("coalesce(sum(errors), 0L) as error_count"),
         )
     )
     # Each window also stands for the empty ones up to the user's next window; the first for those before it too.
-    own = Window.partitionBy("user_id").orderBy("window_us")
-    low = F.when(F.lag("window_us").over(own).isNull(), F.lit(spine.first)).otherwise(F.col("window_us"))
+    own = "(partition by user_id order by window_us)"
     filled = (
-        stats.withColumn("low", low)
-        .withColumn("until", F.lead("window_us").over(own))
+        stats.selectExpr(
+            "*",
+            f"if(lag(window_us) over {own} is null, {spine.first}L, window_us) as low",
+            f"lead(window_us) over {own} as until",
+        )
         .select("*", F.explode(spine.between(F.col("low"), F.col("until"))).alias("start_us"))
-        .filter(F.col("start_us") < F.lit(spine.now))
+        .filter(F.col("start_us") < spine.now)
     )
-
-    def here(value: Column) -> Column:
-        return F.when(F.col("start_us") == F.col("window_us"), value)
-
-    events, errors = F.col("event_count"), F.col("error_count")
-    order = F.desc("window_start") if newest_first else F.asc("window_start")
+    here = "start_us = window_us"
     return filled.select(
         "user_id",
         from_micros(F.col("start_us")).alias("window_start"),
-        here(F.col("speed")).alias("speed"),
-        F.coalesce(here(F.col("volatility")), F.lit(0.0)).alias("volatility"),
-        F.coalesce(here(events), F.lit(0)).alias("event_count"),
-        F.coalesce(here(errors), F.lit(0)).alias("error_count"),
-        F.coalesce(here(errors / events), F.lit(0.0)).alias("relative_error"),
-    ).orderBy(order, "user_id")
+        F.expr(f"if({here}, speed, null) as speed"),
+        F.expr(f"if({here}, volatility, 0D) as volatility"),
+        F.expr(f"if({here}, event_count, 0L) as event_count"),
+        F.expr(f"if({here}, error_count, 0L) as error_count"),
+        F.expr(f"if({here}, error_count / event_count, 0D) as relative_error"),
+    ).orderBy(F.desc("window_start") if newest_first else F.asc("window_start"), "user_id")
 
 
 def speed_by_time_of_day(

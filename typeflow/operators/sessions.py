@@ -5,19 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeflow.functions.text import duration_text
 from typeflow.functions.time import (
+    Span,
     before,
     epoch_micros,
     fixed_micros,
-    floor_to,
     from_micros,
     micros,
     ntz,
     resolve,
+    shift,
     weekday_name,
 )
 from typeflow.operators.common import looking_back, starting
@@ -108,48 +109,41 @@ def session_times(
     now = resolve(as_of)
     gap_us, now_us = fixed_micros(gap), epoch_micros(now)
     width = max(gap_us, 1)
-    recent = looking_back(ev, now, lookback, user).select("user_id", "record_time", "keystroke_id")
+    recent = looking_back(ev, now, lookback, user)
 
     # Slices are counted from as_of, so that the events young enough for an open session fill whole slices.
-    pieces = slices(recent, ["user_id"], micros("record_time"), width, now_us)
-    history = Window.partitionBy("user_id").orderBy("lo")
-    pieces = pieces.withColumn("before_lo", F.lag("hi").over(history)).withColumn(
-        "newest", F.lead("lo").over(history).isNull()
+    history = "(partition by user_id order by lo)"
+    pieces = slices(recent, ["user_id"], micros("record_time"), width, now_us).selectExpr(
+        "*", f"lag(hi) over {history} as before_lo", f"lead(lo) over {history} is null as newest"
     )
 
     # The event before a user's newest one, where both are in these slices. Two rows per user and task are shuffled.
-    latest = Window.partitionBy("user_id").orderBy(F.desc("record_time"), F.desc("keystroke_id"))
+    latest = "(partition by user_id order by record_time desc, keystroke_id desc)"
     second = (
-        recent.filter(floor_to(micros("record_time"), width, now_us) >= F.lit(now_us - width))
-        .withColumn("rank", F.row_number().over(latest))
-        .filter(F.col("rank") <= 2)
-        .groupBy("user_id")
-        .agg(F.max(F.when(F.col("rank") == 2, micros("record_time"))).alias("second_us"))
+        starting(recent, "record_time", shift(now, Span(0, width), -1), inclusive=True)
+        .select("user_id", "record_time", "keystroke_id")
+        .withColumn("newest_rank", F.expr(f"row_number() over {latest}"))
+        .filter("newest_rank = 2")
+        .select("user_id", micros("record_time").alias("second_us"))
     )
-    pieces = pieces.join(second, "user_id", "left")
-
-    after_pause = F.coalesce(F.col("lo") - F.col("before_lo") > F.lit(gap_us), F.lit(False))
-    still_open = F.col("newest") & (F.lit(now_us) - F.col("hi") < F.lit(gap_us))
-    alone = F.col("n") == 1
-    reports = F.array(
-        F.when(
-            after_pause, F.struct(F.col("lo").alias("us"), F.col("before_lo").alias("end_us"), F.lit(0).alias("open"))
-        ),
-        F.when(
-            still_open & ~(after_pause & alone),
-            F.struct(
-                F.col("hi").alias("us"),
-                F.coalesce("second_us", "before_lo").alias("end_us"),
-                F.lit(1).alias("open"),
-            ),
-        ),
-    )
-    chain = Window.partitionBy("user_id").orderBy("report.us", "report.open")
+
+    # A slice reports the session before the pause ahead of it; the newest one also a session that is still open.
+    after_pause = f"coalesce(lo - before_lo > {gap_us}, false)"
+    still_open = f"newest and {now_us} - hi < {gap_us}"
+    reports = f"""explode(array_compact(array(
+        if({after_pause}, named_struct('us', lo, 'end_us', before_lo, 'open', 0), null),
+        if({still_open} and not ({after_pause} and n = 1),
+           named_struct('us', hi, 'end_us', coalesce(second_us, before_lo), 'open', 1), null)))) as report"""
     boundaries = (
-        pieces.select("user_id", F.explode(F.array_compact(reports)).alias("report"))
-        .withColumn("start_us", F.lag("report.us").over(chain))
-        .withColumn("session_date", F.to_date(from_micros(F.col("report.us"))))
-        .withColumn("length_us", F.col("report.end_us") - F.col("start_us"))
+        pieces.join(second, "user_id", "left")
+        .selectExpr("user_id", reports)
+        .selectExpr(
+            "user_id",
+            "report.us",
+            "report.end_us",
+            "report.end_us - lag(report.us) over (partition by user_id order by report.us, report.open) as length_us",
+        )
+        .withColumn("session_date", F.to_date(from_micros(F.col("us"))))
     )
     seconds = F.sum("length_us") / F.lit(1e6)
     minutes = F.col("length_us") / F.lit(6e7)
@@ -162,7 +156,7 @@ def session_times(
             F.sum("length_us").alias("total_us"),
             F.count("*").alias("number_of_sessions"),
             F.coalesce(F.percentile(minutes, F.lit(0.5)), F.lit(0.0)).alias("median_session_duration"),
-            F.max("report.end_us").alias("end_us"),
+            F.max("end_us").alias("end_us"),
         )
         .select(
             name.alias("day_of_week"),
