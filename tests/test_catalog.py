@@ -26,5 +26,14 @@ def test_query_equals_sql(spark, con, name):
     assert differences(registered.queries()[name](spark, SF_DIR), con, registered.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("name", ["q01_typing_speed", "q02_session_times", "q35_ingest_batches", "q37_inter_key_interval"])
+def test_queries_bring_their_session_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert differences(registered.queries()[name](spark, SF_DIR), con, registered.oracle_sql()[name]) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() > 0

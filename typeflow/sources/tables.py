@@ -52,6 +52,7 @@ def typing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typing_events_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events with time running 500 times faster, on seven pages, so that they form flows."""
+    use_utc(spark)
     start = epoch_micros(FAST_START)
     passed = F.call_function("div", micros("ts") - F.lit(start), F.lit(FAST_FACTOR))
     return _typing(spark, sf_dir, F.col("user_id") % 7, from_micros(F.lit(start) + passed))
