@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import packing, sharding, warc
+from typeflow.llm import packing, secrets, sharding, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,27 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
+    base = F.filter("secrets", lambda x: x["kind"] != "opaque")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -50,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_warc": op4_warc,
+        "op6_secrets": op6_secrets,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
     }
