@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import packing, secrets, sharding, warc
+from typeflow.llm import packing, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     archive = warc.write_archive(warc.resolved(table(spark, sf_dir, "pages")))
@@ -70,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op6_secrets": op6_secrets,
         "op9_sharding": op9_sharding,
