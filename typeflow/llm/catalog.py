@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import packing, secrets, sharding, toxicity, warc
+from typeflow.llm import jaccard, packing, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op6_secrets": op6_secrets,
+        "op8_jaccard": op8_jaccard,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
     }
