@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import jaccard, packing, secrets, sharding, toxicity, warc
+from typeflow.llm import jaccard, line_dedup, packing, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("kept", F.lit(""))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint"),
+        F.col("removed_lines").cast("bigint"),
+        F.length(kept).cast("bigint").alias("kept_chars"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -81,6 +93,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op6_secrets": op6_secrets,
+        "op7_line_dedup": op7_line_dedup,
         "op8_jaccard": op8_jaccard,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
