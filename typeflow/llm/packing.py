@@ -24,7 +24,7 @@ from typeflow.llm.common import importable, saved
 WINDOW = 2048
 END_ID = 1
 #: Items of one length that are numbered together.
-CHUNK_ROWS = 5_000
+CHUNK_ROWS = 500
 
 
 def _byte_alphabet() -> dict[str, int]:
