@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import jaccard, line_dedup, packing, secrets, sharding, toxicity, warc
+from typeflow.llm import fingerprints, jaccard, line_dedup, packing, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op6_secrets": op6_secrets,
