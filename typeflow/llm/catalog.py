@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import fingerprints, jaccard, line_dedup, packing, secrets, sharding, toxicity, warc
+from typeflow.llm import fingerprints, jaccard, line_dedup, packing, pieces, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def _listed(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.segmented(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
     base = F.filter("secrets", lambda x: x["kind"] != "opaque")
@@ -97,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op1_fingerprints": op1_fingerprints,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
+        "op5_pieces": op5_pieces,
         "op6_secrets": op6_secrets,
         "op7_line_dedup": op7_line_dedup,
         "op8_jaccard": op8_jaccard,
