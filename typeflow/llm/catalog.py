@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import fingerprints, jaccard, line_dedup, packing, pieces, secrets, sharding, toxicity, warc
+from typeflow.llm import fingerprints, jaccard, line_dedup, neighbours, packing, pieces, secrets, sharding, toxicity, warc
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.coalesce("kept", F.lit(""))
     return found.select(
         "doc_id",
-        F.col("n_lines").cast("bigint"),
         F.col("removed_lines").cast("bigint"),
         F.length(kept).cast("bigint").alias("kept_chars"),
         F.sha2(kept, 256).alias("kept_sha256"),
@@ -101,6 +104,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op2_neighbours": op2_neighbours,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op5_pieces": op5_pieces,
