@@ -3,8 +3,12 @@
 Candidates come from an exact filter. Two sets of sizes a and b that reach the threshold differ in few members, at most
 ``limit(a + b)``. Hash space is cut into parts, the same for all sets of a size band; if a set shows its first
 ``limit + 1`` parts that aren't empty, one of them is untouched by any difference, so both sets show the same part
-with the same members. Parts of several members are rarely shared by sets that aren't alike, also where many documents
-share a passage. Sets that share a part are joined into clusters.
+with the same members. Sets that share a part are joined into clusters.
+
+Members that a fixed share of all documents have (a license line, a passage) would join sets that aren't alike. Leaving
+the same members out of both sets removes differences only, so parts are made of the rarer members alone wherever these
+make up half of a set; sets that have fewer, and all that might be linked to one, show parts of all their members
+apart from that.
 
 Inside a cluster, sets are compared in size-banded tiles: a hashed bitmap for each set, whose differing bits bound the
 overlap from above, and the exact intersection of sorted arrays for what is left. Sets that are known to be linked
@@ -25,13 +29,16 @@ from typeflow.llm.common import components, importable, saved
 
 WORDS = 5
 PERCENT = 80
-#: Sets in a tile; two tiles are compared in one task.
-TILE = 256
+#: Members and sets that a tile holds, about; two tiles are compared in one task.
+TILE_MEMBERS, TILE_SETS = 400_000, 2048
 BITMAP_WORDS = 16
 #: Words whose hashes a worker keeps before it starts anew; it changes speed only.
 CACHE = 300_000
-#: Members of a part, by size band: bands are powers of two; the parts of larger sets are less often empty.
-SMALL, MIDDLE = 7, 8
+#: Size bands are powers of two. In bands below SMALL each member is a part; then a part has 2 members, from band
+#: MIDDLE on 3, on average, since many parts are less likely to be empty by far.
+SMALL, MIDDLE = 8, 9
+#: A member is common if so large a share of the documents has it: their number is bounded by the mean set size over it.
+COMMON = 1 / 2000
 #: Rows without a doc_id get keys from here on.
 UNNAMED = 1 << 62
 
@@ -92,30 +99,42 @@ class Rule:
         """The size of the largest set that may be linked to one of ``size``."""
         return size * 100 // self.percent
 
-    def parts(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of the parts that the set with sorted members ``s`` shows, in its own size band and the next."""
+    def parts(self, s: np.ndarray, common: np.ndarray, fine: frozenset[int]) -> tuple[np.ndarray, list[int]]:
+        """Hashes of the parts that the set with sorted members ``s`` shows, in its own size band and the next, and the
+        bands in which it has too few that aren't empty. With ``fine``: those in these bands, each member a part."""
         size = len(s)
         if not size:
-            return s
+            return s, []
         own = size.bit_length() - 1
         most = self.largest(size)
-        shown = [self._shown(s, own, min(most, (2 << own) - 1))]
-        if most >= 2 << own:
-            shown.append(self._shown(s, own + 1, most))
-        return np.concatenate(shown)
-
-    def _shown(self, s: np.ndarray, band: int, partner: int) -> np.ndarray:
-        need = self.limit(len(s) + partner) + 1
-        salt = np.uint64(band * int(_STEP) % (1 << 64))
-        if band < SMALL:
-            return mixed(s[:need] + salt)  # each member is a part of its own
-        count = (1 << band) // (2 if band < MIDDLE else 4)
+        bands = [(own, min(most, (2 << own) - 1))] + [(own + 1, most)] * (most >= 2 << own)
+        if fine:
+            bands = [x for x in bands if x[0] in fine]
+        rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s] if len(common) and bands else s
+        sources = []
+        if 2 * len(rare) >= size:
+            sources.append((rare, 0))
+        if 2 * (len(rare) - self.limit(size + most)) < most:  # or a set linked to it may have fewer
+            sources.append((s, 1))
+        shown, short = [s[:0]], []
+        for members, channel in sources:
+            for band, partner in bands:
+                need = self.limit(size + partner) + 1
+                salt = (4 * band + 2 * bool(fine) + channel) * int(_STEP) % (1 << 64)
+                found = self._shown(members, band, need, salt, band < SMALL or bool(fine))
+                short += [band] * (len(found) < need)
+                shown.append(found)
+        return np.concatenate(shown), short
+
+    @staticmethod
+    def _shown(s: np.ndarray, band: int, need: int, salt: int, single: bool) -> np.ndarray:
+        if single:
+            return mixed(s[:need] + np.uint64(salt))
+        count = (1 << band) // (2 if band < MIDDLE else 3)
         index = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(index[1:] != index[:-1]) + 1])
         sums = np.add.reduceat(mixed(s), starts)[:need]
-        if len(sums) < need:  # fewer parts with members than differences: never seen, so all such sets are compared
-            return np.concatenate([mixed(sums + salt), mixed(np.array([salt]))])
-        return mixed(sums + salt + index[starts[:need]] * _MIX[0])
+        return mixed(sums + np.uint64(salt) + index[starts[:need]] * _MIX[0])
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
@@ -129,28 +148,51 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), unnamed).alias("key")
 
 
-def sets(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """Of each row: key, set size, the set's hash, and the parts it shows, once for equal sets in a task."""
-    schema = "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, parts array<bigint>"
+def common_members(docs: DataFrame, words: int, share: float = COMMON) -> np.ndarray:
+    """Members that ``share`` of all documents have, sorted. Counted over all of them, and combined in each batch; what
+    is rare in every batch isn't counted, which costs time at most: any set of members will do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in batches:
+            some = [shingles(text.as_py()) for text in batch.column(0)]
+            member, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64),) * 2
+            often = n >= max(4, share * len(batch))
+            columns = [pa.array(member[often].view(np.int64)), pa.array(n[often].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["member", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "member bigint, n bigint")
+    least = share * docs.count()
+    found = counted.groupBy("member").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("member").toArrow()
+    return np.sort(found["member"].to_numpy().view(np.uint64))
+
+
+def sets(docs: DataFrame, words: int, rule: Rule, common: np.ndarray, fine: frozenset[int] = frozenset()) -> DataFrame:
+    """Of each row: key, set size, the set's hash, and the parts it shows, once for equal sets in a task; ``short``:
+    the size bands in which it has too few parts."""
+    schema = "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, parts array<bigint>, short array<int>"
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most the mean set size over COMMON
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), set()
         for batch in batches:
-            sizes, first, second, parts, ends = [], [], [], [np.zeros(0, np.uint64)], [0]
+            sizes, first, second, parts, ends, lacks = [], [], [], [np.zeros(0, np.uint64)], [0], []
             for text in batch.column(2):
                 s = shingles(text.as_py())
                 a, b = set_hashes(s)
                 sizes.append(len(s))
                 first.append(a)
                 second.append(b)
-                shown = s[:0] if a in seen else rule.parts(s)
-                seen.add(a)
+                shown, short = (s[:0], []) if (a, b) in seen else rule.parts(s, shared.value, fine)
+                seen.add((a, b))
                 parts.append(shown)
+                lacks.append(short)
                 ends.append(ends[-1] + len(shown))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
             columns = [pa.array(c, pa.int64()) for c in (sizes, first, second)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, lists], names=["doc_id", "key", "n", "h1", "h2", "parts"]
+                [batch.column(0), batch.column(1), *columns, lists, pa.array(lacks, pa.list_(pa.int32()))],
+                names=["doc_id", "key", "n", "h1", "h2", "parts", "short"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key(), F.col("text").cast("string"))
@@ -213,67 +255,74 @@ def _linked(rows: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
     return links
 
 
-def links(docs: DataFrame, chosen: DataFrame, words: int, rule: Rule, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the sets in ``chosen`` (key, h1, h2, n, cluster), enough to join all that are joined."""
-    schema = "key bigint, n bigint, cluster bigint, members binary, h1 bigint"
+def tiles(chosen: DataFrame, percent: int, members: int = TILE_MEMBERS, sets: int = TILE_SETS) -> DataFrame:
+    """``chosen`` with the ``tile`` pairs of its cluster that each set takes part in, one row for each, and its ``side``.
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
-        for batch in batches:
-            rows = []
-            for key, text, h1, h2, cluster in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(text)
-                if set_hashes(s) == (h1, h2):  # keys may stand for several rows
-                    rows.append((key, len(s), cluster, s.tobytes(), h1))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)],
-                names=["key", "n", "cluster", "members", "h1"],
-            )
+    A cluster that is too large for one tile is cut by size bands (a factor of the threshold wide) and, in each, into
+    as many shares as it needs; each share meets the shares of its own band and of the next.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("bigint")
+    banded = chosen.withColumn("band", band)
+    counted = banded.groupBy("cluster", "band").agg(F.count("*").alias("size"), F.sum("n").alias("mass"))
+    needed = F.greatest(F.ceil(F.col("mass") / members), F.ceil(F.col("size") / sets))
+    shares = counted.select("cluster", "band", needed.alias("shares"))
+    one = (F.sum("mass") <= members) & (F.sum("size") <= sets)
+    whole = counted.groupBy("cluster").agg(one.alias("one"))
+    above = shares.select("cluster", (F.col("band") - 1).alias("band"), F.col("shares").alias("above"))
+    below = shares.select("cluster", (F.col("band") + 1).alias("band"), F.col("shares").alias("below"))
+    plan = shares.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").join(whole, "cluster")
+
+    def corner(band: Column, share: Column) -> Column:
+        return F.struct(band.cast("bigint").alias("band"), share.cast("bigint").alias("share"))
+
+    def pair(low: Column, high: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"))
 
-    texts = docs.select(_key(), F.col("text").cast("string"))
-    read = chosen.join(texts, "key").select("key", "text", "h1", "h2", "cluster").mapInArrow(look, schema)
-
-    # Tiles of a cluster that is too large for one: a size band and a share of its sets, each with every share of its
-    # own band and of the next.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent))).cast("bigint")
-    counted = chosen.groupBy("cluster", band.alias("band")).agg(F.count("*").alias("size"))
-    shares = counted.withColumn("shares", F.ceil(F.col("size") / tile))
-    whole = counted.groupBy("cluster").agg(F.sum("size").alias("all"))
-    after = shares.select("cluster", (F.col("band") - 1).alias("band"), F.col("shares").alias("above"))
-    before = shares.select("cluster", (F.col("band") + 1).alias("band"), F.col("shares").alias("below"))
-    plan = (
-        shares.join(after, ["cluster", "band"], "left")
-        .join(before, ["cluster", "band"], "left")
-        .join(whole, "cluster")
-        .select("cluster", "band", "shares", "above", "below", (F.col("all") <= tile).alias("one"))
-    )
     share = F.pmod("h1", "shares")
-    here = F.struct(F.col("band").alias("band"), share.alias("share"))
+    here = corner(F.col("band"), share)
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    none = F.array().cast("array<struct<low:struct<band:bigint,share:bigint>,high:struct<band:bigint,share:bigint>>>")
     own = F.transform(
-        F.sequence(F.lit(0), F.col("shares") - 1),
-        lambda x: F.struct(
-            F.struct(F.col("band").alias("band"), F.least(x, share).alias("share")).alias("low"),
-            F.struct(F.col("band").alias("band"), F.greatest(x, share).alias("share")).alias("high"),
-        ),
+        upto("shares"), lambda x: pair(corner(F.col("band"), F.least(x, share)), corner(F.col("band"), F.greatest(x, share)))
     )
-    no_pairs = F.array().cast("array<struct<low:struct<band:bigint,share:bigint>,high:struct<band:bigint,share:bigint>>>")
+    up = F.transform(upto("above"), lambda x: pair(here, corner(F.col("band") + 1, x)))
+    down = F.transform(upto("below"), lambda x: pair(corner(F.col("band") - 1, x), here))
+    nowhere = corner(F.lit(0), F.lit(0))
+    all_of_it = F.concat(own, F.coalesce(up, none), F.coalesce(down, none))
+    dealt = banded.join(plan, ["cluster", "band"]).withColumn("here", here)
+    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("one"), F.array(pair(nowhere, nowhere))).otherwise(all_of_it)))
+    same = F.col("one") | (F.col("tile.low") == F.col("tile.high")) | (F.col("here") == F.col("tile.low"))
+    return dealt.withColumn("side", F.when(same, 0).otherwise(1)).select(*chosen.columns, "tile", "side")
 
-    def beside(step: int, count: str):
-        def pair(x):
-            there = F.struct((F.col("band") + step).alias("band"), x.alias("share"))
-            return F.struct((here if step > 0 else there).alias("low"), (there if step > 0 else here).alias("high"))
 
-        return F.when(F.col(count).isNull(), no_pairs).otherwise(F.transform(F.sequence(F.lit(0), F.col(count) - 1), pair))
+def links(docs: DataFrame, chosen: DataFrame, words: int, rule: Rule) -> DataFrame:
+    """Links (a, b) between the sets in ``chosen`` (key, h1, h2, n, cluster), enough to join all that are joined."""
+    placed = tiles(chosen, rule.percent).groupBy("key", "h1", "h2", "cluster").agg(
+        F.collect_list(F.struct("tile", "side")).alias("places")
+    )
+    schema = "key bigint, n bigint, members binary, cluster bigint, places " + dict(placed.dtypes)["places"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in batches:
+            found = [shingles(text.as_py()) for text in batch.column(1)]
+            marks = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            right = pa.array([set_hashes(s) == mark for s, mark in zip(found, marks)])  # a key may be of several rows
+            columns = [
+                batch.column(0),
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array([s.tobytes() for s in found], pa.binary()),
+                batch.column(4),
+                batch.column(5),
+            ]
+            names = ["key", "n", "members", "cluster", "places"]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(right)
 
-    nowhere = F.struct(F.lit(0).cast("bigint").alias("band"), F.lit(0).cast("bigint").alias("share"))
-    alone = F.array(F.struct(nowhere.alias("low"), nowhere.alias("high")))
-    tiles = F.when(F.col("one"), alone).otherwise(F.concat(own, beside(1, "above"), beside(-1, "below")))
-    dealt = read.withColumn("band", band).join(plan, ["cluster", "band"]).withColumn("at", here).withColumn(
-        "tile", F.explode(tiles)
+    texts = docs.select(_key(), F.col("text").cast("string"))
+    read = placed.join(texts, "key").select("key", "text", "h1", "h2", "cluster", "places").mapInArrow(look, schema)
+    dealt = read.withColumn("place", F.explode("places")).select(
+        "cluster", "place.tile", "place.side", "key", "n", "members"
     )
-    side = F.when(F.col("one") | (F.col("tile.low") == F.col("tile.high")) | (F.col("at") == F.col("tile.low")), 0).otherwise(1)
-    dealt = dealt.select("cluster", "tile", side.alias("side"), "key", "n", "members")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_linked(rows, rule), columns=["a", "b"], dtype="int64")
@@ -281,7 +330,7 @@ def links(docs: DataFrame, chosen: DataFrame, words: int, rule: Rule, tile: int
     return dealt.groupBy("cluster", "tile").applyInPandas(compare, "a bigint, b bigint")
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by
     links between sets with ``100 * intersection >= percent * union``.
 
@@ -291,20 +340,26 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     """
     importable(docs.sparkSession)
     rule = Rule(percent)
-    found = saved(sets(docs, words, rule), "sets")
+    common = common_members(docs, words)
+    found = saved(sets(docs, words, rule, common), "sets")
+    shown = found.select("parts", "h1")
+    short = found.select(F.explode("short").alias("band")).distinct().collect()  # size bands: below 64
+    if short:  # a set had too few parts, which is next to impossible: single members as well, in its band
+        finer = sets(docs, words, rule, common, frozenset(r[0] for r in short))
+        shown = shown.unionByName(saved(finer.select("parts", "h1").filter("size(parts) > 0"), "finer"))
     some = found.filter("n > 0")
     distinct = saved(
         some.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("copies")),
         "distinct",
     )
-    clusters = components(saved(shared_parts(found), "shared"))
+    clusters = components(saved(shared_parts(shown), "shared"))
     chosen = saved(
         distinct.join(clusters.select(F.col("node").alias("h1"), F.col("component").alias("cluster")), "h1").select(
             "key", "h1", "h2", "n", "cluster"
         ),
         "chosen",
     )
-    joins = components(saved(links(docs, chosen, words, rule, tile), "links"))
+    joins = components(saved(links(docs, chosen, words, rule), "links"))
     joins = joins.select(F.col("node").alias("key"), "component")
     # Only sets with copies or links have a component other than themselves.
     classes = distinct.join(joins, "key", "left").filter("copies > 1 or component is not null")
@@ -318,3 +373,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     )
     empty = found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(empty)
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs``, same columns, with one document of each component: the one with the smallest doc_id.
+
+    Rows of one doc_id are one document and stay or go together. A row without a doc_id stays. ``docs`` is read several
+    times: a stored table.
+    """
+    found = joined(docs.select("doc_id", "text"), words, percent)
+    others = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_other")).distinct()
+    same = F.col("doc_id").cast("bigint") == F.col("_other")
+    return docs.join(others, same, "left_anti")

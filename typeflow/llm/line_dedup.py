@@ -1,15 +1,16 @@
 """Removal of passages that an earlier document has already, in DataFrame operations alone.
 
-A text is cut into lines: at line breaks, after punctuation and before capital letters, so that a passage put anywhere
-into a text keeps most of its lines. From every line on, the lines up to ``GRAM`` words are hashed as one gram, and
-winnowing selects, of every ``WINDOW`` grams in a row, the smallest; grams that begin with a long line are selected
-always. So any run of more than 50 words, in whole lines, that two documents share has a selected gram in both:
-of the grams inside the run either ``WINDOW`` stand in a row, or one begins with a long line.
-
-Selected grams are joined to their first occurrence in the corpus, which gives (later document, earlier document,
-offset) once for each run. The two documents' line hashes are then compared along that offset, which extends the match
-both ways, and runs of at least ``RUN`` words are deleted from the later document. Inside a document, lines that repeat
-with a period of up to ``PERIOD`` lines are deleted in the same way.
+A text is cut into lines: at line breaks, after sentences and before words with a capital letter, so that a passage put
+anywhere into a text keeps its lines. Two lines in a row are hashed as one gram; winnowing selects, of every ``WINDOW``
+grams in a row, the smaller one, and a line of ``LONG`` words or more is a gram by itself that is always selected.
+Where two lines have less than ``LEAST`` words, grams of ``MANY`` lines take their place. So a run of more than 50
+words, in whole lines, that two documents share has a selected gram in both: it has a long line, or three lines and
+with them a window of two grams, or many short lines.
+
+Selected grams are joined to the first document that has them, which gives pairs of a later and an earlier document
+with their common grams. The positions of these grams give offsets, and the line hashes of the two documents are
+compared along each, which extends matches both ways; runs of at least ``RUN`` words are deleted from the later
+document. Inside a document, lines that repeat with a period of up to ``PERIOD`` lines are deleted in the same way.
 """
 
 from __future__ import annotations
@@ -19,107 +20,104 @@ from pyspark.sql import functions as F
 
 from typeflow.llm.common import saved
 
-#: Each line with the white space behind it; all of them make up the text again.
-LINE = r"(?s).+?(?:\n\s*|(?<=[.!?,;:])\s+|\s+(?=\p{Lu})|\z)"
-GRAM = 16
-WINDOW = 4
-LONG = 12
+#: Between two lines; nothing is taken away, so the lines make up the text again.
+CUT = r"(?<=\n)(?=\S)|(?<=[.!?]\s)(?=\S)|(?<= )(?=\p{Lu}\p{Ll})"
+WINDOW = 2
+LONG = 20
+#: Two lines of fewer words are found in texts that have nothing else in common.
+LEAST, MANY = 8, 8
 RUN = 30
 PERIOD = 4
 
 
 def lines(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
-
-
-def _bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \t\r\n\f\x0b"))
+    return F.filter(F.split(text, CUT, -1), lambda x: x != "")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """Of each row: ``doc_id``, ``mark`` (a hash of the text), line hashes ``h``, their words ``w``, sums ``c`` of words
-    before each line."""
+    """Of each row: ``doc_id``, ``mark`` (a hash of the text), the hashes ``h`` of its lines and their words ``w``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), lines(text).alias("l"))
-    bare = F.transform("l", _bare)
-    rows = rows.select("doc_id", "mark", bare.alias("l"))
-    words = F.transform(
-        "l", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("int")
-    )
-    rows = rows.select("doc_id", "mark", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))
-    sums = F.aggregate("w", F.array(F.lit(0)), lambda c, x: F.array_append(c, F.element_at(c, -1) + x))
-    return rows.withColumn("c", sums)
+    rows = rows.select("doc_id", "mark", F.transform("l", lambda x: F.rtrim(x, F.lit(" \t\r\n\f\x0b"))).alias("l"))
+    words = F.transform("l", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    return rows.select("doc_id", "mark", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
-    """The selected grams of each row: ``gram`` and ``at``, its first line; each gram once a document.
+def _next_to(x: Column, f) -> Column:
+    """``f`` of every two neighbours in an array."""
+    size = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, F.lit(2), size), f)
 
-    The grams of a text are computed in its row, so none is moved before it is selected.
-    """
-    grams = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.element_at("c", -1) - F.get("c", i) >= GRAM),
-        lambda i: F.struct(
-            F.xxhash64(
-                F.slice("h", i + 1, F.size(F.filter(F.slice("c", i + 2, GRAM), lambda c: c < F.get("c", i) + GRAM)) + 1)
-            ).alias("gram"),
-            i.alias("at"),
-        ),
+
+def _grams(h: Column) -> Column:
+    """The grams of all places: of every two lines, then of every line by itself, then of many lines."""
+    alone = F.transform(h, lambda a: F.xxhash64(a, F.lit(1)))
+    many = F.transform(h, lambda a, i: F.xxhash64(F.slice(h, i + 1, MANY)))
+    return F.concat(_next_to(h, lambda a, b: F.xxhash64(a, b)), alone, many)
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """The selected grams of each row, each once. They are chosen inside the row, so no text or line is moved."""
+    no_grams = F.array().cast("array<bigint>")
+    rows = rows.withColumn("two_words", _next_to(F.col("w"), lambda a, b: a + b))
+    two_words = F.col("two_words")
+    two = F.zip_with(
+        _next_to(F.col("h"), lambda a, b: F.xxhash64(a, b)), two_words, lambda g, n: F.when(n >= LEAST, g)
     )
-    some = rows.filter((F.size("h") > 0) & (F.element_at("c", -1) >= GRAM)).select("doc_id", "mark", "w", grams.alias("g"))
-    least = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("g") - WINDOW, F.lit(0))), lambda i: F.array_min(F.slice("g", i + 1, WINDOW))
+    long = F.zip_with("h", "w", lambda h, n: F.when(n >= LONG, F.xxhash64(h, F.lit(1))))
+    short = F.filter(two_words, lambda n, i: (n < LEAST) & (i <= F.size("h") - MANY))
+    some = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("h") - MANY), lambda i: F.get(two_words, i) < LEAST),
+        lambda i: F.xxhash64(F.slice("h", i + 1, MANY)),
     )
-    long = F.filter("g", lambda x: F.get("w", x["at"]) >= LONG)
-    chosen = some.select("doc_id", "mark", F.explode(F.array_distinct(F.concat(least, long))).alias("x"))
-    return chosen.select("doc_id", "mark", "x.gram", "x.at")
+    many = F.when((F.size("h") >= MANY) & (F.size(short) > 0), some)
+    rows = rows.select("doc_id", "mark", two.alias("two"), long.alias("long"), F.coalesce(many, no_grams).alias("many"))
+    fewer = _next_to(_next_to(F.col("many"), lambda a, b: F.least(a, b)), lambda a, b: F.least(a, b))
+    least = F.when(F.size("two") < WINDOW, F.col("two")).otherwise(_next_to(F.col("two"), lambda a, b: F.least(a, b)))
+    chosen = F.array_distinct(F.array_compact(F.concat(least, "long", fewer)))
+    return rows.select("doc_id", "mark", F.explode(chosen).alias("gram"))
 
 
-def _place(at: str | None = None) -> Column:
+def _place() -> Column:
     """Order of documents: by doc_id, nulls last; texts of one doc_id by their hash."""
     parts = [F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("mark")]
-    return F.struct(*parts, *([F.col(at).alias("at")] if at else []))
+    return F.struct(*parts)
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """(later document, earlier document, offset): where a selected gram was seen first. One row for each."""
+    """A later document, an earlier one that was the first to have some of its grams, and these ``grams``."""
     marks = saved(fingerprints(rows), "grams")
-    firsts = marks.groupBy("gram").agg(F.min(_place("at")).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select("gram", "first")
-    found = marks.join(firsts, "gram").filter(
-        _place() > F.struct(*(F.col(f"first.{c}").alias(c) for c in ("unnamed", "doc_id", "mark")))
-    )
-    return found.select(
-        "doc_id",
-        "mark",
-        F.col("first.doc_id").alias("from_id"),
-        F.col("first.mark").alias("from_mark"),
-        (F.col("first.at") - F.col("at")).alias("offset"),
-    ).distinct()
-
-
-def _runs(same: Column, begin: Column) -> Column:
-    """The runs of true in ``same``, whose first element is line ``begin``, as (start, end, words), ends exclusive,
-    that have ``RUN`` words or more."""
+    firsts = marks.groupBy("gram").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+    firsts = firsts.filter("first != last").select("gram", "first")
+    found = marks.join(firsts, "gram").filter(_place() > F.col("first"))
+    return found.groupBy(
+        "doc_id", "mark", F.col("first.doc_id").alias("from_id"), F.col("first.mark").alias("from_mark")
+    ).agg(F.collect_set("gram").alias("grams"))
+
+
+def _sums(w: Column) -> Column:
+    """Words before each line, and in all."""
+    return F.aggregate(w, F.array(F.lit(0)), lambda c, x: F.array_append(c, F.element_at(c, -1) + x))
+
+
+def _runs(same: Column, begin: Column, sums: Column) -> Column:
+    """The runs of true in ``same``, whose first element is line ``begin``, as (start, end), ends exclusive, that have
+    ``RUN`` words or more."""
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc, x):
-        grown = F.struct(
-            F.when(x & acc["open"], acc["start"]).when(x, acc["at"]).otherwise(acc["start"]).alias("start"),
-            x.alias("open"),
+        closes = ~x & (acc["start"] >= 0)
+        done = F.struct(acc["start"].alias("start"), acc["at"].alias("end"))
+        enough = F.get(sums, acc["at"]) - F.get(sums, acc["start"]) >= RUN
+        return F.struct(
+            F.when(~x, F.lit(-1)).when(acc["start"] < 0, acc["at"]).otherwise(acc["start"]).alias("start"),
             (acc["at"] + 1).alias("at"),
-            F.when(
-                ~x & acc["open"],
-                F.array_append(acc["runs"], F.struct(acc["start"].alias("start"), acc["at"].alias("end"))),
-            )
-            .otherwise(acc["runs"])
-            .alias("runs"),
+            F.when(closes & enough, F.array_append(acc["runs"], done)).otherwise(acc["runs"]).alias("runs"),
         )
-        return grown
 
-    start = F.struct(begin.alias("start"), F.lit(False).alias("open"), begin.alias("at"), none.alias("runs"))
+    start = F.struct(F.lit(-1).alias("start"), begin.alias("at"), none.alias("runs"))
     # A false behind the last line closes an open run.
-    runs = F.aggregate(F.array_append(same, F.lit(False)), start, step, lambda acc: acc["runs"])
-    return F.filter(runs, lambda r: F.get("c", r["end"]) - F.get("c", r["start"]) >= RUN)
+    return F.aggregate(F.array_append(same, F.lit(False)), start, step, lambda acc: acc["runs"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -129,63 +127,61 @@ def repeated(docs: DataFrame) -> DataFrame:
     theirs = rows.select(F.col("doc_id").alias("from_id"), F.col("mark").alias("from_mark"), F.col("h").alias("from_h"))
     both = pairs.join(
         theirs, pairs["from_id"].eqNullSafe(theirs["from_id"]) & (pairs["from_mark"] == theirs["from_mark"])
-    ).select("doc_id", "mark", pairs["from_id"], pairs["from_mark"], "offset", "from_h")
-    mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "c")
+    ).select("doc_id", "mark", "grams", "from_h")
+    mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
     both = both.join(mine, both["doc_id"].eqNullSafe(mine["own_id"]) & (both["mark"] == mine["own_mark"]))
+    both = both.withColumn("g", _grams(F.col("h"))).withColumn("from_g", _grams(F.col("from_h"))).withColumn("c", _sums(F.col("w")))
+
+    def line(grams: str, hashes: str, gram: Column) -> Column:
+        at, n = F.array_position(grams, gram).cast("int") - 1, F.size(hashes)  # in the order of _grams
+        return F.when(at < n - 1, at).when(at < 2 * n - 1, at - n + 1).otherwise(at - 2 * n + 1)
+
+    offsets = F.array_distinct(F.transform("grams", lambda g: line("from_g", "from_h", g) - line("g", "h", g)))
+    along = both.select("doc_id", "mark", "h", "from_h", "c", F.explode(offsets).alias("offset"))
     low = F.greatest(F.lit(0), -F.col("offset"))
     high = F.least(F.size("h"), F.size("from_h") - F.col("offset"))
-    beside = F.zip_with(
+    same = F.zip_with(
         F.slice("h", low + 1, high - low), F.slice("from_h", low + F.col("offset") + 1, high - low), lambda a, b: a == b
     )
-    across = both.select("doc_id", "mark", _runs(beside, low).alias("runs"))
-
-    inside = rows.filter(F.size("h") > 1)
-    for period in range(1, PERIOD + 1):
-        lag = F.zip_with(
-            F.slice("h", period + 1, F.greatest(F.size("h") - period, F.lit(0))),
-            F.slice("h", 1, F.greatest(F.size("h") - period, F.lit(0))),
-            lambda a, b: a == b,
-        )
-        inside = inside.withColumn(f"runs{period}", _runs(lag, F.lit(period)))
-    within = inside.select("doc_id", "mark", F.concat(*[f"runs{p}" for p in range(1, PERIOD + 1)]).alias("runs"))
+    across = along.select("doc_id", "mark", _runs(same, low, F.col("c")).alias("runs"))
+
+    size = F.greatest(F.size("h") - F.col("period"), F.lit(0))
+    lag = F.zip_with(F.slice("h", F.col("period") + 1, size), F.slice("h", F.lit(1), size), lambda a, b: a == b)
+    again = [F.lit(p) for p in range(1, PERIOD + 1)]
+    inside = rows.select("doc_id", "mark", "h", "w", F.explode(F.array(*again)).alias("period")).withColumn("same", lag)
+    inside = inside.filter(F.array_contains("same", True)).withColumn("c", _sums(F.col("w")))
+    within = inside.select("doc_id", "mark", _runs(F.col("same"), F.col("period"), F.col("c")).alias("runs"))
     return (
         across.unionByName(within)
-        .filter(F.size("runs") > 0)
         .select("doc_id", "mark", F.explode("runs").alias("run"))
-        .distinct()
         .groupBy("doc_id", "mark")
-        .agg(F.array_sort(F.collect_list("run")).alias("runs"))
+        .agg(F.array_sort(F.collect_set("run")).alias("runs"))
     )
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (the text without repeated passages, null only for null texts), ``n_lines`` and ``removed_lines``.
+    """``docs`` with ``kept``, the text without repeated passages (null for null texts), and ``removed_lines``.
 
     A run counts as repeated if a document with a smaller doc_id has it (nulls last; among texts of one doc_id, by the
     text's hash), and is deleted where it has ``RUN`` words or more. Rows repeated with doc_id and text are one
-    document and stay alike. Empty texts have no lines. Texts are compared whole, and further columns come back.
+    document and stay alike. Empty texts have no lines. Texts are compared whole, and further columns come back; own
+    columns named like the new ones, or beginning with an underscore, are replaced.
     """
-    docs = docs.drop("kept", "n_lines", "removed_lines", "_mark", "_runs")
+    docs = docs.select([c for c in docs.columns if not c.startswith("_") and c not in ("kept", "removed_lines")])
     found = repeated(docs.select("doc_id", "text"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
-    all_rows = keyed.join(
+    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = keyed.join(
         found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_mark")), "left"
     )
-    pieces = all_rows.withColumn("_l", lines(text))
-    gone = F.filter(
-        F.sequence(F.lit(0), F.size("_l") - 1),
-        lambda i: F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])),
-    )
-    dropped = F.when(F.col("_runs").isNull(), F.array().cast("array<int>")).otherwise(gone)
-    pieces = pieces.withColumn("_gone", dropped)
-    kept = F.array_join(F.filter("_l", lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"]))), "")
+    has = F.col("_runs").isNotNull()
+    rows = rows.withColumn("_lines", F.when(has, lines(F.col("text"))))
+    left = F.filter("_lines", lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["end"])))
+    rows = rows.withColumn("_left", F.when(has, left))
     return (
-        pieces.withColumn("kept", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("n_lines", F.size("_l"))
-        .withColumn("removed_lines", F.size("_gone"))
-        .drop("_l", "_runs", "_mark", "_id", "_hash", "_gone")
+        rows.withColumn("kept", F.when(has, F.array_join("_left", "")).otherwise(F.col("text")))
+        .withColumn("removed_lines", F.when(has, F.size("_lines") - F.size("_left")).otherwise(F.lit(0)))
+        .drop("_lines", "_left", "_runs", "_mark", "_id", "_hash")
     )
 
 

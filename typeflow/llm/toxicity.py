@@ -250,16 +250,9 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
 
 
-def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
-
-    Scores depend on the text alone. Null and empty texts have no hits and the score of such texts; repeated rows have
-    equal scores; a null doc_id is never held out; without usable labels the fixed insults vote alone. Further columns
-    of both tables are left out. Everything collected is bounded: mined words by MAX_WORDS, pattern counts by
-    3 * 2 ** VOTERS, rows to train on by ``max_labelled``; mining, votes and scores cover all rows.
-    """
-    spark = docs.sparkSession
-    importable(spark)
+def learned(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list[str], Classifier, DataFrame]:
+    """The words looked at, the classifier, and the stored hits of all rows."""
+    importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = saved(learning_labels(labels, max_labelled), "labels")
     words = [*INSULTS, *(w for w in mined_words(docs, known) if w not in set(INSULTS))]
@@ -271,16 +264,27 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     model = fit_label_model(table[:, 0], table[:, 1], table[:, 2])
 
     rows = seen.join(small, "doc_id").limit(2 * max_labelled).toArrow()
+    if not len(rows):
+        unseen = np.zeros(len(words) - len(INSULTS))
+        return words, Classifier(np.r_[np.full(len(INSULTS), 4.0), unseen, 1.0, 1.0, 1.0, -3.0]), seen
     ids, offsets = _flat(rows["ids"])
     counts, _ = _flat(rows["counts"])
-    sizes = rows["n_words"].to_numpy()
-    size = len(words) + 4
-    target = model.posterior(rows["pattern"].to_numpy(), rows["toxic"].to_numpy()) if len(rows) else np.zeros(0)
-    if len(rows):
-        classifier = Classifier.fit(len(rows), *Classifier.features(sizes, offsets, ids, counts, len(words)), target, size)
-    else:
-        classifier = Classifier(np.r_[np.full(len(INSULTS), 4.0), np.zeros(len(words) - len(INSULTS)), 1.0, 1.0, 1.0, -3.0])
-    weights = spark.sparkContext.broadcast(classifier.weights)  # a number for each word
+    target = model.posterior(rows["pattern"].to_numpy(), rows["toxic"].to_numpy())
+    parts = Classifier.features(rows["n_words"].to_numpy(), offsets, ids, counts, len(words))
+    return words, Classifier.fit(len(rows), *parts, target, len(words) + 4), seen
+
+
+def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
+
+    Scores depend on the text alone. Null and empty texts have no hits and the score of such texts; repeated rows have
+    equal scores; a null doc_id is never held out; without usable labels the fixed insults vote alone. Further columns
+    of both tables are left out. Everything collected is bounded: mined words by MAX_WORDS, pattern counts by
+    3 * 2 ** VOTERS, rows to train on by ``max_labelled`` (twice it, should doc_ids repeat); mining, votes and scores
+    cover all rows.
+    """
+    words, classifier, seen = learned(docs, labels, max_labelled)
+    weights = docs.sparkSession.sparkContext.broadcast(classifier.weights)  # a number for each word
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = Classifier(weights.value)
@@ -300,3 +304,28 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED
+) -> DataFrame:
+    """The rows of ``docs``, same columns, whose score is below ``threshold``. Texts are scored where they are read, so
+    none is shuffled."""
+    words, classifier, _ = learned(docs, labels, max_labelled)
+    shared = docs.sparkSession.sparkContext.broadcast((words, classifier.weights))
+    text_at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(shared.value[0])}
+        linear = Classifier(shared.value[1])
+        for batch in batches:
+            found = [WORD.findall((text.as_py() or "").lower()) for text in batch.column(text_at)]
+            seen = [Counter(at[w] for w in words if w in at) for words in found]
+            ids = np.array([i for c in seen for i in c], dtype=np.int64)
+            counts = np.array([n for c in seen for n in c.values()], dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(c) for c in seen], dtype=np.int64)])
+            n_words = np.array([len(words) for words in found], dtype=np.int64)
+            parts = Classifier.features(n_words, offsets, ids, counts, len(at))
+            yield batch.filter(pa.array(linear.scores(len(n_words), *parts) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
