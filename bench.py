@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the timed runs per query (the
-median counts, after one warm-up). ``--naive`` also times the event-by-event forms of tests/naive.py.
+median counts, after one warm-up).
 """
 
 from __future__ import annotations
@@ -14,10 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tests import naive  # noqa: E402
 from typeflow.plans.catalog import queries  # noqa: E402
 from typeflow.session import build_session  # noqa: E402
-from typeflow.sources.tables import AS_OF, FAST_AS_OF, key_events, typing_events, typing_events_fast  # noqa: E402
 
 HEADLINE = (
     "q01_typing_speed",
@@ -38,17 +36,6 @@ HEADLINE = (
     "q40_insights_typing",
 )
 
-NAIVE = {
-    "q01_typing_speed": lambda s, d: naive.typing_speed(typing_events_fast(s, d), str(FAST_AS_OF)),
-    "q02_session_times": lambda s, d: naive.session_times(typing_events(s, d), str(AS_OF)),
-    "q17_time_of_day_dense": lambda s, d: naive.time_of_day_dense(typing_events(s, d)),
-    "q20_speed_by_time_of_day": lambda s, d: naive.speed_by_time_of_day(typing_events_fast(s, d), str(FAST_AS_OF)),
-    "q23_active_sessions_by_app": lambda s, d: naive.sessions(key_events(s, d), "10 minutes", True),
-    "q24_active_sessions_history": lambda s, d: naive.sessions(key_events(s, d), "3 minutes", False),
-    "q37_inter_key_interval": lambda s, d: naive.inter_key_interval(key_events(s, d), []),
-}
-
-
 def seconds(build, spark, sf_dir: str, runs: int) -> float:
     times = []
     for _ in range(runs + 1):
@@ -74,8 +61,6 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cpus": cpus,
     }
-    if "--naive" in sys.argv:
-        result["naive"] = {name: seconds(build, spark, sf_dir, runs) for name, build in NAIVE.items()}
     spark.stop()
     print(json.dumps(result))
 

@@ -12,11 +12,12 @@ def _key(value):
 
 
 def same_rows(left, right, columns: list[str]) -> None:
-    """Both frames hold the same rows in ``columns``, in any order."""
-    a, b = (
-        sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda row: [_key(v) for v in row])
-        for df in (left, right)
-    )
+    """Both, frames or lists of dicts, hold the same rows in ``columns``, in any order."""
+
+    def rows(side) -> list[tuple]:
+        return [tuple(r[c] for c in columns) for r in (side if isinstance(side, list) else side.select(*columns).collect())]
+
+    a, b = (sorted(rows(side), key=lambda row: [_key(v) for v in row]) for side in (left, right))
     assert len(a) == len(b), f"{len(a)} rows, expected {len(b)}"
     for found, expected in zip(a, b):
         for x, y in zip(found, expected):

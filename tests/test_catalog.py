@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 from tests.compare import connect, differences
+from typeflow.plans import catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,10 +19,15 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+def test_queries_are_registered():
+    assert set(catalog.queries()) <= set(registered.queries())
+    assert set(registered.oracle_sql()) <= set(registered.queries())
+
+
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
     assert differences(registered.queries()[name](spark, SF_DIR), con, registered.oracle_sql()[name]) == []
 

@@ -151,15 +151,15 @@ def test_typing_speed_equals_the_event_by_event_form(events, seed):
     columns = "user_id window_start speed volatility event_count error_count relative_error".split()
     for resolution, gap in (("15 minutes", "5 seconds"), ("7 minutes", "90 seconds")):
         found = typing_speed(ev, AS_OF, lookback="1 hour", resolution=resolution, flow_gap=gap)
-        same_rows(found, naive.typing_speed(ev, str(AS_OF), "1 hour", resolution, gap), columns)
+        same_rows(found, naive.typing_speed(ev, AS_OF, "1 hour", resolution, gap), columns)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_speed_by_time_of_day_equals_the_event_by_event_form(events, seed):
     ev = events(random_events(seed, tie=0.4, spread=1_500_000)).cache()
     found = speed_by_time_of_day(ev, AS_OF, min_events=1)
-    expected = naive.speed_by_time_of_day(ev, str(AS_OF), min_events=1)
-    assert expected.count() > 0
+    expected = naive.speed_by_time_of_day(ev, AS_OF, min_events=1)
+    assert expected
     same_rows(found, expected, ["time_bin", "speed", "volatility", "event_count"])
 
 

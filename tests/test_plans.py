@@ -5,7 +5,6 @@ from datetime import timedelta
 
 import pytest
 
-import __spark_entry__ as registered
 from tests.conftest import AS_OF
 from typeflow.operators.counters import now_stats, recent_events
 from typeflow.operators.flows import speed_by_time_of_day, typing_speed
@@ -13,10 +12,11 @@ from typeflow.operators.intervals import inter_key_interval
 from typeflow.operators.rhythm import time_of_day, time_of_day_dense
 from typeflow.operators.sessions import active_sessions, active_sessions_by_app, recent_sessions_by_app, session_times
 from typeflow.operators.sites import site_reach, top_sites
+from typeflow.plans import catalog
 from typeflow.session import new_folder
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH_ONLY = [name for name in registered.queries() if name[0] == "q" and not name.startswith(("q35_app", "q38"))]
+BATCH_ONLY = [name for name in catalog.queries() if name[0] == "q" and not name.startswith(("q35_app", "q38"))]
 
 
 def plan_of(df) -> str:
@@ -36,7 +36,7 @@ def tables(spark):
 
 @pytest.mark.parametrize("name", BATCH_ONLY)
 def test_no_cartesian_or_nested_loop_join(spark, name):
-    plan = plan_of(registered.queries()[name](spark, SF_DIR))
+    plan = plan_of(catalog.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
@@ -102,4 +102,7 @@ def test_distinct_users_spread_over_host_and_user(tables):
 def test_intervals_never_window_a_whole_key(tables):
     plan = plan_of(inter_key_interval(tables[1], ["App"]))
     windows = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan)
-    assert windows and all("stretch" in window for window in windows)
+    assert windows and all("stretch" in window or "day" in window for window in windows)
+    assert sum("event_id" in window for window in windows) == 1  # events are ordered once, inside their stretch
+    events = [kind for kind, text in exchanges(plan) if "event_id" in text]
+    assert len(events) <= 1

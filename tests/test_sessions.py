@@ -184,7 +184,7 @@ def test_session_times_equal_the_event_by_event_form(events, seed):
     ev = events(rows).cache()
     columns = ["user_id", "session_date", "total_minutes", "number_of_sessions", "median_session_duration", "sessions_end"]
     for now in (AS_OF, AS_OF - timedelta(hours=7), AS_OF + timedelta(minutes=1)):
-        same_rows(session_times(ev, now), naive.session_times(ev, str(now)), columns)
+        same_rows(session_times(ev, now), naive.session_times(ev, now), columns)
 
 
 def test_one_user_of_session_times(events):

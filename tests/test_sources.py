@@ -12,7 +12,7 @@ from typeflow.operators.evolution import add_tags
 from typeflow.operators.sites import top_sites
 from typeflow.schema import KEY_EVENTS, RAW_REQUEST, TYPING_EVENTS
 from typeflow.session import new_folder
-from typeflow.sources.events import append_events, ingest_batches, read_events, write_records
+from typeflow.sources.events import append_events, ingest_batches, read_events, rejected_batches, write_records
 from typeflow.sources.key_csv import key_preview, read_key_csv, write_key_csv
 
 HEADER = "Timestamp,Interval_ns,SeqNum,App,Title,Category\n"
@@ -54,11 +54,26 @@ def test_a_bad_event_refuses_its_request_only(spark):
     assert ingest_batches(raw).count() == 1
 
 
-@pytest.mark.parametrize("text", ["2024-03-10T11:59:00Z", "2024-03-10T11:59:00.000+00:00", "2024-03-10 11:59:00"])
-def test_zones_are_dropped(spark, text):
+@pytest.mark.parametrize(
+    "text",
+    [
+        "2024-03-10T11:59:00Z",
+        "2024-03-10T11:59:00.000+00:00",
+        "2024-03-10 11:59:00",
+        "2024-03-10T13:59:00+02:00",
+        "2024-03-10T06:29:00.000-05:30",
+        "2024-03-10T12:59:00 Europe/Paris",
+    ],
+)
+def test_times_with_a_zone_are_stored_as_utc(spark, text):
     assert ingest_batches(requests(spark, [event(record_time=text)])).first().record_time == datetime(2024, 3, 10, 11, 59)
 
 
+def test_refused_requests_are_kept_with_their_reason(spark):
+    raw = requests(spark, [event(record_time="soon")], "no json", [event()])
+    assert sorted(r.reason for r in rejected_batches(raw).collect()) == ["event", "text"]
+
+
 def test_appended_events_are_partitioned_by_date(spark, events):
     path = new_folder(spark, "events")
     ev = events([{"t": AS_OF - timedelta(days=d), "url": f"{d}.com"} for d in range(40)])
@@ -126,6 +141,28 @@ def test_bad_rows_are_skipped_whatever_is_selected(spark, tmp_path):
     assert kev.agg(F.max("Timestamp")).first()[0] == datetime(2025, 1, 26, 9, 0, 2)
 
 
+def test_empty_cells_are_null_and_fit(spark, tmp_path):
+    path = write_files(
+        tmp_path,
+        '2025-01-26T09:00:00Z,,0,"A","t","Space"\n'
+        '2025-01-26T09:00:01Z,1,,"B","t",\n'
+        ',1,0,"C","t","Space"\n'
+        '2025-01-26T09:00:01Z,1,0,"D"\n',
+    )
+    rows = {r.App: r for r in read_key_csv(spark, path).collect()}
+    assert set(rows) == {"A", "B", "C"}
+    assert rows["A"].Interval_ns is None and rows["B"].SeqNum is None and rows["B"].Category is None
+    assert rows["C"].Timestamp is None
+
+
+def test_csv_round_trip_in_a_zone(spark):
+    path = new_folder(spark, "csv")
+    kev = spark.createDataFrame([(datetime(2025, 1, 26, 11), Decimal(1), 0, "A", "t", "Space")], KEY_EVENTS)
+    write_key_csv(kev, path, zone="Europe/Paris")
+    assert read_key_csv(spark, path).first().Timestamp == datetime(2025, 1, 26, 10)
+    same_rows(read_key_csv(spark, path, "Europe/Paris"), kev, KEY_EVENTS.names)
+
+
 def test_csv_round_trip(spark):
     path = new_folder(spark, "csv")
     rows = [

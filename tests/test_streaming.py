@@ -71,5 +71,8 @@ def test_live_sessions_match_the_batch_form(spark):
 def test_live_status_keeps_the_latest(spark):
     rows = [(i, AS_OF + timedelta(minutes=i)) for i in range(6)]
     df = spark.createDataFrame(rows, "i int, Timestamp timestamp_ntz")
-    row = run(spark, jobs.live_status(stream(spark, df, "status", 3)), jobs.start_status).collect()
+    live = jobs.live_status(stream(spark, df, "status", 3))
+    path, checkpoint = new_folder(spark, "out"), new_folder(spark, "state")
+    jobs.start_status(live, path, checkpoint).awaitTermination()
+    row = jobs.latest_status(spark, path, live.schema).collect()
     assert [tuple(r) for r in row] == [(AS_OF + timedelta(minutes=5), 6)]

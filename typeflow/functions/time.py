@@ -37,6 +37,10 @@ _UNIT_MICROS = {
     "week": 7 * DAY,
 }
 _UNIT_MONTHS = {"month": 1, "year": 12}
+_SHORT = {"us": "microsecond", "ms": "millisecond", "sec": "second", "s": "second", "min": "minute", "m": "minute",
+          "hr": "hour", "h": "hour", "d": "day", "w": "week", "mon": "month", "y": "year", "yr": "year"}
+_CLOCK = re.compile(r"(\d+):(\d\d)(?::(\d\d(?:\.\d+)?))?$")
+_ISO = re.compile(r"P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$")
 _TERM = re.compile(r"\s*(\d+(?:\.\d+)?)\s*([a-z]+?)s?(?=\s|\d|$)", re.IGNORECASE)
 
 
@@ -53,18 +57,26 @@ class Span:
 
 
 def span(value: str | timedelta | Span) -> Span:
-    """Parse '15 minutes', '1 month', '1 hour 30 minutes' and the like."""
+    """Parse '15 minutes', '1 month', '1 hour 30 minutes', '90 min', '01:30:00', 'P1DT2H' and the like."""
     if isinstance(value, Span):
         return value
     if isinstance(value, timedelta):
         return Span(0, value // timedelta(microseconds=1))
     months, micros, at = 0, 0, 0
     text = value.strip()
+    if clock := _CLOCK.match(text):
+        hours, minutes, seconds = (float(x or 0) for x in clock.groups())
+        return Span(0, round(hours * HOUR + minutes * MINUTE + seconds * SECOND))
+    if (iso := _ISO.match(text)) and any(iso.groups()):
+        years, more, weeks, days, hours, minutes, seconds = (float(x or 0) for x in iso.groups())
+        length = (weeks * 7 + days) * DAY + hours * HOUR + minutes * MINUTE + seconds * SECOND
+        return Span(int(years * 12 + more), round(length))
     while at < len(text):
         term = _TERM.match(text, at)
         if term is None:
             raise ValueError(f"not an interval: {value!r}")
         number, unit = term.group(1), term.group(2).lower()
+        unit = _SHORT.get(unit, unit)
         if unit in _UNIT_MICROS:
             micros += round(float(number) * _UNIT_MICROS[unit])
         elif unit in _UNIT_MONTHS and "." not in number:
@@ -110,6 +122,14 @@ def before(as_of: datetime | str | None, lookback: str | timedelta | Span) -> da
     return shift(resolve(as_of), span(lookback), -1)
 
 
+def since_now(lookback: str | timedelta | Span) -> Column:
+    """The present time less ``lookback``, taken anew whenever the query runs."""
+    by = span(lookback)
+    return F.localtimestamp() - F.make_interval(
+        months=F.lit(by.months), secs=(F.lit(by.micros) / F.lit(1e6)).cast("decimal(18,6)")
+    )
+
+
 def epoch_micros(moment: datetime) -> int:
     return (moment - EPOCH) // timedelta(microseconds=1)
 

@@ -7,33 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeflow.functions.time import fixed_micros, floor_to, micros
-from typeflow.operators.common import join_same
+from typeflow.functions.time import DAY, fixed_micros, floor_to, micros
 
 
-def previous_moment(moments: DataFrame, keys: Sequence[str], stretch: int) -> DataFrame:
-    """Adds ``prev_us``, the moment before ``us`` of the same key, to distinct (keys, us) rows.
+def _carried(cut: DataFrame, keys: list[str], stretch: int) -> DataFrame:
+    """For each key and stretch the last moment before the stretch, as ``us``.
 
-    History is cut into stretches that are sorted apart. Each stretch also receives the last moment of the key's
-    stretch before it, from a table of one row per key and stretch, so that its first moment finds it by ``lag``.
+    Stretches of a day are ordered among themselves; the first one of a day takes the last moment of the days before,
+    from a table of one row per key and day. So no task orders a key's whole history of stretches.
     """
-    keys = list(keys)
-    cut = moments.withColumn("stretch", floor_to(F.col("us"), stretch)).withColumn("carried", F.lit(False))
-    along = Window.partitionBy(*keys).orderBy("stretch")
     last = (
-        cut.groupBy(*keys, "stretch")
+        cut.filter("us is not null")
+        .groupBy(*keys, "stretch")
         .agg(F.max("us").alias("last_us"))
-        .withColumn("us", F.lag("last_us").over(along))
-        .filter(F.col("us").isNotNull())
-        .select(*keys, "stretch", "us", F.lit(True).alias("carried"))
-    )
-    inside = Window.partitionBy(*keys, "stretch").orderBy("us")
-    return (
-        cut.unionByName(last, allowMissingColumns=True)
-        .withColumn("prev_us", F.lag("us").over(inside))
-        .filter(~F.col("carried"))
-        .drop("stretch", "carried")
+        .withColumn("day", floor_to(F.col("stretch"), max(DAY, stretch)))
     )
+    in_day = Window.partitionBy(*keys, "day").orderBy("stretch")
+    over_days = Window.partitionBy(*keys).orderBy("day")
+    inside = last.withColumn("us", F.lag("last_us").over(in_day)).select(*keys, "stretch", "us")
+    first = last.groupBy(*keys, "day").agg(F.max("last_us").alias("last_us"), F.min("stretch").alias("stretch"))
+    across = first.withColumn("us", F.lag("last_us").over(over_days)).select(*keys, "stretch", "us")
+    return inside.unionByName(across).filter("us is not null")
 
 
 def inter_key_interval(
@@ -41,18 +35,20 @@ def inter_key_interval(
 ) -> DataFrame:
     """Events with ``interval_us``, the microseconds since the key's previous event; NULL for its first.
 
-    Among events of one moment the one with the lowest id carries the gap and the others have 0. Copies of a moment
-    are therefore merged before anything is sorted, and come back through an ordinary join, whose partitions
-    adaptive execution splits where many events share a moment.
+    Among events of one moment the one with the lowest id carries the gap and the others have 0. History is cut into
+    stretches that are sorted apart, after one exchange of the events; each stretch also receives the last moment
+    before it, so that its first event finds it by ``lag``. Events without a time have no interval and are spread out.
     """
-    keys = list(keys)
+    keys, width = list(keys), fixed_micros(stretch)
+    nowhere = -F.pmod(F.xxhash64(id_column), F.lit(1024)) - (1 << 62)
     events = kev.withColumn("us", micros("Timestamp"))
-    moments = events.filter(F.col("us").isNotNull()).groupBy(*keys, "us").agg(F.min(id_column).alias("first_id"))
-    gaps = previous_moment(moments, keys, fixed_micros(stretch))
-    first = F.col(id_column) == F.col("first_id")
-    interval = F.when(first, F.col("us") - F.col("prev_us")).when(~first, F.lit(0))
+    cut = events.withColumn("stretch", F.coalesce(floor_to(F.col("us"), width), nowhere))
+    carried = _carried(cut, keys, width).withColumn("carried", F.lit(1))
+    inside = Window.partitionBy(*keys, "stretch").orderBy("us", F.desc("carried"), id_column)
     return (
-        join_same(events, gaps, keys, "us", "left")
-        .withColumn("interval_us", interval.cast("long"))
-        .drop("us", "first_id", "prev_us")
+        cut.withColumn("carried", F.lit(0))
+        .unionByName(carried, allowMissingColumns=True)
+        .withColumn("interval_us", (F.col("us") - F.lag("us").over(inside)).cast("long"))
+        .filter("carried = 0")
+        .drop("us", "stretch", "carried")
     )

@@ -149,7 +149,11 @@ def activity_range(ev: DataFrame) -> DataFrame:
 
 
 def time_grid(df: DataFrame, end: str, step: str, n: int, name: str = "time_of_day") -> DataFrame:
-    """For each row the times ``end - n * step`` to ``end``, both included."""
+    """For each row the times from ``end - n * step`` on, step by step, up to ``end``.
+
+    Steps of months go from one time to the next, so a day of month lost to a short month stays lost, and ``end`` is
+    reached only if none is.
+    """
     length = span(step)
     if length.fixed:
         us = micros(end)
@@ -158,4 +162,10 @@ def time_grid(df: DataFrame, end: str, step: str, n: int, name: str = "time_of_d
     if length.micros:
         raise ValueError("the step must be months or a fixed length, not both")
     start = F.col(end) - F.make_ym_interval(F.lit(0), F.lit(n * length.months))
-    return df.select("*", F.explode(F.sequence(start, F.col(end), F.make_ym_interval(F.lit(0), F.lit(length.months)))).alias(name))
+    month_step = F.make_ym_interval(F.lit(0), F.lit(length.months))
+    stamps = F.aggregate(
+        F.sequence(F.lit(1), F.lit(n)),
+        F.array(start),
+        lambda done, _: F.array_append(done, F.element_at(done, -1) + month_step),
+    )
+    return df.select("*", F.explode(F.filter(stamps, lambda t: t <= F.col(end))).alias(name))

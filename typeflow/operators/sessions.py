@@ -19,6 +19,7 @@ from typeflow.functions.time import (
     ntz,
     resolve,
     shift,
+    since_now,
     weekday_name,
 )
 from typeflow.operators.common import looking_back, starting
@@ -35,9 +36,13 @@ def active_sessions_by_app(kev: DataFrame, gap="10 minutes", keys: Sequence[str]
 def active_sessions(
     kev: DataFrame, as_of=None, gap="3 minutes", lookback="24 hours", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Sessions over all apps that began in the last ``lookback``, numbered over the whole history."""
+    """Sessions over all apps that began in the last ``lookback``, numbered over the whole history.
+
+    Without ``as_of`` the cutoff is taken anew whenever the result is computed, so a view of it stays current.
+    """
     sessions = with_times(daily_sessions(kev, keys, "Timestamp", fixed_micros(gap)))
-    return sessions.filter(F.col("session_start") > ntz(before(as_of, lookback))).orderBy(
+    cutoff = since_now(lookback) if as_of is None else ntz(before(as_of, lookback))
+    return sessions.filter(F.col("session_start") > cutoff).orderBy(
         *keys, F.desc("session_date"), "session_number"
     )
 

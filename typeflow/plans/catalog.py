@@ -39,6 +39,7 @@ from typeflow.operators.sessions import (
 )
 from typeflow.operators.sites import host_sample, site_counts, site_reach, site_users, top_sites
 from typeflow.plans.reports import insights, week_over_week, week_over_week_pivot, weekly_report_rows
+from typeflow.plans.views import create_views
 from typeflow.session import new_folder
 from typeflow.sources.events import append_events, ingest_batches, read_events
 from typeflow.sources.key_csv import key_preview, read_key_csv, write_key_csv
@@ -46,6 +47,7 @@ from typeflow.sources.tables import (
     AS_OF,
     FAST_AS_OF,
     key_events,
+    key_events_with_gaps,
     raw_keys,
     raw_requests,
     table,
@@ -90,8 +92,10 @@ def on_keys(operator: Callable[..., DataFrame], *args, **options) -> Query:
 
 
 def _session_times(ev: DataFrame, **options) -> DataFrame:
-    """Session times with the total as seconds."""
-    return session_times(ev, AS_OF, **options).withColumn("total_time", F.col("total_hours") * 3600)
+    """Session times with the interval of the total as seconds, NULL where it is."""
+    units = (("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1))
+    total = sum(F.extract(F.lit(unit), F.col("total_time")).cast("double") * n for unit, n in units)
+    return session_times(ev, AS_OF, **options).withColumn("total_time", total)
 
 
 def _time_grid(ev: DataFrame) -> DataFrame:
@@ -99,6 +103,22 @@ def _time_grid(ev: DataFrame) -> DataFrame:
     return time_grid(ends, "ts", "15 minutes", 12).select("user_id", "time_of_day")
 
 
+def _time_grid_months(ev: DataFrame) -> DataFrame:
+    ends = ev.groupBy("user_id").agg(F.max("record_time").alias("ts"))
+    ends = ends.withColumn("ts", F.date_trunc("month", "ts").cast("timestamp_ntz") + F.expr("interval 30 days"))
+    return time_grid(ends, "ts", "1 month", 4).select("user_id", "time_of_day")
+
+
+def _view(name: str) -> Query:
+    """A stored view, read through SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        create_views(key_events(spark, sf_dir), AS_OF)
+        return rounded(spark.sql(f"select * from {name}"))
+
+    return query
+
+
 def _intervals(kev: DataFrame, keys) -> DataFrame:
     return inter_key_interval(kev, keys).select("event_id", "App", "interval_us")
 
@@ -133,6 +153,10 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_batches(raw_requests(spark, sf_dir), **_fixed_ids()).drop("keystroke_id")
 
 
+def _ingested_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest_batches(raw_requests(spark, sf_dir, zoned=True), **_fixed_ids()).drop("keystroke_id")
+
+
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to the date-partitioned table and read back for one period."""
     path = new_folder(spark, "events")
@@ -151,6 +175,15 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kev.select("Timestamp", F.col("Interval_ns").cast("long").alias("Interval_ns"), "SeqNum", "App", "Title", "Category")
 
 
+def _csv_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "key-csv-gaps")
+    write_key_csv(key_events_with_gaps(spark, sf_dir), path, 10_000, zone="Europe/Paris")
+    kev = read_key_csv(spark, path, zone="Europe/Paris")
+    return kev.select(
+        "Timestamp", F.col("Interval_ns").cast("long").alias("Interval_ns"), "SeqNum", "App", "Title", "Category"
+    )
+
+
 def _csv_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The preview takes any ten rows, so only its size and the constant column are fixed."""
     return key_preview(_csv_table(spark, sf_dir)).groupBy("SeqNum").agg(F.count("App").alias("row_count"))
@@ -192,7 +225,7 @@ def _s04(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = new_folder(spark, "status"), new_folder(spark, "status-state")
     live = jobs.live_status(_stream_of(spark, sf_dir).select(F.col("ts").alias("Timestamp")))
     jobs.start_status(live, path, checkpoint).awaitTermination()
-    return spark.read.schema(live.schema).parquet(path)
+    return jobs.latest_status(spark, path, live.schema)
 
 
 def queries() -> dict[str, Query]:
@@ -226,6 +259,7 @@ def queries() -> dict[str, Query]:
         "q17_time_of_day_dense_full": on_typing(time_of_day_dense, full_last_day=True),
         "q18_activity_range": on_typing(activity_range),
         "q19_time_grid": on_typing(_time_grid),
+        "q19_time_grid_months": on_typing(_time_grid_months),
         "q20_speed_by_time_of_day": on_fast_typing(speed_by_time_of_day, FAST_AS_OF),
         "q20_speed_by_time_of_day_by_user": on_fast_typing(speed_by_time_of_day, FAST_AS_OF, by_user=True),
         "q21_now_stats": on_typing(now_stats, AS_OF),
@@ -233,6 +267,8 @@ def queries() -> dict[str, Query]:
         "q22_recent_events_one_user": on_typing(recent_events, AS_OF, "1 day", user=USER),
         "q22_recent_events_all": on_typing(recent_events, lookback=None),
         "q23_active_sessions_by_app": on_keys(active_sessions_by_app),
+        "q23_view": _view("active_sessions_by_app"),
+        "q24_view": _view("active_sessions"),
         "q24_active_sessions": on_keys(active_sessions, AS_OF),
         "q24_active_sessions_history": on_keys(active_sessions, AS_OF, lookback="1 year"),
         "q25_active_time_by_app": on_keys(active_time_by_app),
@@ -250,11 +286,13 @@ def queries() -> dict[str, Query]:
         "q33_week_over_week_pivot": on_typing(week_over_week_pivot, AS_OF),
         "q34_weekly_report": on_typing(weekly_report_rows, AS_OF),
         "q35_ingest_batches": _ingested,
+        "q35_ingest_zoned": _ingested_zoned,
         "q35_append_events": _appended,
         "q36_key_category": _key_categories,
         "q37_inter_key_interval": on_keys(_intervals, []),
         "q37_inter_key_interval_by_app": on_keys(_intervals, ["App"]),
         "q38_key_csv_round_trip": _csv_round_trip,
+        "q38_key_csv_gaps": _csv_gaps,
         "q38_key_csv_preview": _csv_preview,
         "q39_add_tags": on_typing(_tagged),
         "q40_insights_top_sites": on_typing(_insights_sites),

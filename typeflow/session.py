@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,16 +38,25 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests), one temporary folder per process stands in for it.
+    Where a session with a local master names none (tests), one temporary folder per process stands in for it, and is
+    removed when the process ends. On a cluster executors don't see each other's folders, so there it must be named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.conf.get("spark.master", "")
+        if not _is_local(master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="typeflow-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         folder = _own_folder[0]
     return folder.rstrip("/")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark)}/typeflow/{name}-{uuid.uuid4().hex}"

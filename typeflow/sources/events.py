@@ -38,6 +38,40 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+# A time of day and behind it a zone: Z, an offset, or a name.
+_ZONED = r"\d:\d\d(:\d\d(\.\d+)?)?\s*([Zz]|UTC|GMT|[+-]\d{1,2}(:?\d\d){0,2}|[A-Za-z]+/[A-Za-z_/]+)$"
+
+
+def stored_time(text: Column) -> Column:
+    """Posted time as it is stored: with a zone, the instant's UTC time; without one, as it is; NULL if it is none."""
+    instant = text.try_cast("timestamp").cast("timestamp_ntz")
+    return F.when(text.rlike(_ZONED), F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)).otherwise(
+        text.try_cast("timestamp_ntz")
+    )
+
+
+def _posted() -> Column:
+    return F.from_json("body", POSTED_BATCH)["events"]
+
+
+def _whole(events: Column) -> Column:
+    """Whether a request's text parses and no event lacks a field."""
+
+    def complete(event: Column) -> Column:
+        ok = stored_time(event["record_time"]).isNotNull()
+        for field in POSTED_BATCH["events"].dataType.elementType.names:
+            ok = ok & event[field].isNotNull()
+        return ok
+
+    return events.isNotNull() & F.forall(events, complete)
+
+
+def rejected_batches(raw: DataFrame) -> DataFrame:
+    """The requests that :func:`ingest_batches` refuses, with the ``reason``: ``text`` or ``event``."""
+    reason = F.when(F.col("events").isNull(), "text").when(~_whole(F.col("events")), "event")
+    return raw.withColumn("events", _posted()).withColumn("reason", reason).filter("reason is not null").drop("events")
+
+
 def ingest_batches(
     raw: DataFrame,
     ingestion_time: Column | None = None,
@@ -47,27 +81,19 @@ def ingest_batches(
     """Typed events from logged requests (see ``schema.RAW_REQUEST``).
 
     A request counts as a whole: if its text does not parse, or one event lacks a field, none of its events is
-    taken. ``ingestion_time`` defaults to the current time, ``batch_id`` to a fresh hexadecimal uuid for each event
+    taken; :func:`rejected_batches` has these. Times with a zone or offset are stored as UTC, times without one as they
+    are. ``ingestion_time`` defaults to the current time, ``batch_id`` to a fresh hexadecimal uuid for each event
     and ``keystroke_id`` to a hash of the batch id. Given expressions may use the posted fields and ``user_id``.
     """
-    posted = F.from_json("body", POSTED_BATCH)["events"]
-    fields = POSTED_BATCH["events"].dataType.elementType.names
-
-    def complete(event: Column) -> Column:
-        ok = event["record_time"].try_cast("timestamp_ntz").isNotNull()
-        for field in fields:
-            ok = ok & event[field].isNotNull()
-        return ok
-
     events = (
-        raw.withColumn("events", posted)
-        .filter(F.col("events").isNotNull() & F.forall("events", complete))
+        raw.withColumn("events", _posted())
+        .filter(_whole(F.col("events")))
         .withColumn(
             "agent_description", agent_description(F.col("host"), F.col("user_agent"), F.col("accept_language"))
         )
         .select("user_id", "agent_description", F.explode("events").alias("event"))
         .select("user_id", "agent_description", "event.*")
-        .withColumn("record_time", F.col("record_time").cast("timestamp_ntz"))
+        .withColumn("record_time", stored_time(F.col("record_time")))
     )
     if ingestion_time is None:
         ingestion_time = F.current_timestamp()

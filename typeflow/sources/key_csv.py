@@ -15,7 +15,8 @@ _TEXT_SCHEMA = T.StructType(
 
 
 def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
-    """All CSV files below ``path``, times in the report zone; rows that do not fit the schema are skipped.
+    """All CSV files below ``path``, times in the report zone; rows that do not fit the schema are skipped: a row of
+    another length, or one with a cell that can't be read as its column's type. An empty cell is NULL and fits.
 
     Every column is read as text and cast here, whatever a later query selects: a row's fate must not depend on
     which columns are asked for. Quoted fields may hold doubled quotes, commas and line breaks.
@@ -32,9 +33,9 @@ def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame
     cast = {field.name: F.col(field.name).try_cast(field.dataType) for field in KEY_EVENTS.fields}
     moment = F.col("Timestamp").try_cast("timestamp").cast("timestamp_ntz")
     cast["Timestamp"] = F.convert_timezone(F.lit("UTC"), F.lit(zone), moment) if zone != "UTC" else moment
-    fits = F.col(_CORRUPT).isNull() & F.col("Category").isNotNull()
+    fits = F.col(_CORRUPT).isNull()
     for name in ("Timestamp", "Interval_ns", "SeqNum"):
-        fits = fits & cast[name].isNotNull()
+        fits = fits & (F.col(name).isNull() | cast[name].isNotNull())
     return text.filter(fits).select(*[cast[name].alias(name) for name in KEY_EVENTS.names])
 
 
@@ -43,10 +44,11 @@ def key_preview(kev: DataFrame, n: int = 10) -> DataFrame:
     return kev.select("SeqNum", "App").limit(n)
 
 
-def write_key_csv(kev: DataFrame, path: str, rows_per_file: int | None = None) -> None:
-    """CSV drops with header; times as ISO-8601 in UTC, quotes doubled, defaults for missing app and title."""
+def write_key_csv(kev: DataFrame, path: str, rows_per_file: int | None = None, zone: str = "UTC") -> None:
+    """CSV drops with header; times of ``zone`` as ISO-8601 in UTC, quotes doubled, defaults for missing app and title."""
+    moment = F.convert_timezone(F.lit(zone), F.lit("UTC"), "Timestamp") if zone != "UTC" else F.col("Timestamp")
     rows = kev.select(
-        F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("Timestamp"),
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("Timestamp"),
         "Interval_ns",
         "SeqNum",
         F.coalesce("App", F.lit("Unknown")).alias("App"),

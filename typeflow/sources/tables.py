@@ -20,6 +20,7 @@ FAST_AS_OF = datetime(2024, 1, 1, 1, 30)
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
 
@@ -70,6 +71,23 @@ def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_events_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key events with empty cells, and titles with quotes, commas and line breaks: the texts of documents."""
+    documents = table(spark, sf_dir, "documents")
+    count = documents.select(F.count("*")).scalar()
+    titles = documents.select("doc_id", F.concat(F.lit('"a", '), F.col("text")).alias("said"))
+    kev = key_events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % count)
+    return kev.join(titles, "doc_id", "left").select(
+        "event_id",
+        "Timestamp",
+        F.when(F.col("event_id") % 5 != 0, F.col("Interval_ns")).alias("Interval_ns"),
+        F.when(F.col("event_id") % 3 != 0, F.col("SeqNum")).alias("SeqNum"),
+        "App",
+        F.col("said").alias("Title"),
+        F.when(F.col("event_id") % 7 != 0, F.col("Category")).alias("Category"),
+    )
+
+
 def raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key records before they are categorised."""
     return table(spark, sf_dir, "events").select(
@@ -79,11 +97,18 @@ def raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_requests(spark: SparkSession, sf_dir: str, batch_size: int = 50) -> DataFrame:
-    """Requests as clients would have posted them: up to ``batch_size`` consecutive events of a user in each."""
+def raw_requests(spark: SparkSession, sf_dir: str, batch_size: int = 50, zoned: bool = False) -> DataFrame:
+    """Requests as clients would have posted them: up to ``batch_size`` consecutive events of a user in each.
+
+    With ``zoned``, every third time has no zone, every third a Z and every third is that of a clock two hours ahead.
+    """
     ev = typing_events(spark, sf_dir)
+    text, third = F.col("record_time").cast("string"), F.col("keystroke_id") % 3
+    if zoned:
+        ahead = (F.col("record_time") + F.expr("interval 2 hours")).cast("string")
+        text = F.when(third == 0, text).when(third == 1, F.concat(text, F.lit("Z"))).otherwise(F.concat(ahead, F.lit("+02:00")))
     event = F.struct(
-        F.col("record_time").cast("string").alias("record_time"),
+        text.alias("record_time"),
         "session_id",
         "source_url",
         "is_end_of_word",

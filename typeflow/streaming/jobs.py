@@ -7,10 +7,10 @@ Windows are aligned to the clock, not to the moment of asking as in the batch fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from typeflow.operators.common import DATE_PARTITION
 from typeflow.schema import RAW_REQUEST
@@ -94,20 +94,32 @@ def start_append(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE
 
 def start_sessions(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """As :func:`start_append`; sessions are merged before the shuffle, so a busy app sends few rows."""
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return _start(df, path, checkpoint, trigger)
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = conf.get(name, None)
+    conf.set(name, "true")  # the query keeps the settings it was started with
+    try:
+        return _start(df, path, checkpoint, trigger)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def start_status(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Keep the latest one-row result of a global aggregate in ``path``."""
+    """Writes each one-row result of a global aggregate to a folder of its own below ``path``; see :func:`latest_status`."""
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         df.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
+
+
+def latest_status(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest result in ``path``; results before it stay until they are removed, so there always is one to read."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = Window.orderBy(F.desc("batch"))  # one row for each batch
+    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "batch")
