@@ -1,0 +1,62 @@
+"""Nearest neighbours against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from typeflow.llm import neighbours
+
+SCHEMA = "vec_id bigint, embedding array<float>, id int"
+
+
+def brute(rows, most):
+    usable = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            usable[i] = np.array(v, np.float32).astype(np.float64)
+    ids = np.array(sorted(usable))
+    x = np.stack([usable[i] for i in ids]) if len(ids) else np.zeros((0, 1))
+    out = {}
+    for i in ids[ids % 20 == 0]:
+        s = x @ usable[i]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:most]
+        out[int(i)] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def found(spark, rows, most=20):
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    out = {}
+    for r in neighbours.nearest(table, F.col("id") % 20 == 0, most).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_recall_and_scores(spark, scaled):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 24)) + 2 * rng.normal(size=(12, 24))[rng.integers(0, 12, 2500)]
+    x = x * rng.uniform(0.5, 2, (2500, 1)) if scaled else x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    expected, got = brute(rows, 20), found(spark, rows)
+    assert set(got) == set(expected) and all(len(v) == 20 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
+    assert hits >= 0.9 * 20 * len(expected)
+    score = {q: dict(v) for q, v in got.items()}
+    for q, best in expected.items():
+        assert all(abs(score[q][i] - s) < 1e-9 for i, s in best if i in score[q])
+        assert got[q] == sorted(got[q], key=lambda r: (-r[1], r[0]))
+
+
+def test_equal_vectors_and_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(100)] + [(i, [0.0, 1.0]) for i in range(100, 130)] + [(130, [2.0, 0.0])]
+    assert found(spark, rows, 5) == brute(rows, 5)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
+            (6, [None, 1.0]), (20, [1.0, 1.0]), (None, [1.0, 1.0]), (40, None), (7, [1.0]), (1, [2.0, 1.0])]
+    got = found(spark, rows)
+    assert got == {0: [(1, 4.0), (20, 3.0)], 20: [(0, 3.0), (1, 3.0)]}
+    assert found(spark, []) == {} and found(spark, [(0, [1.0])]) == {}

@@ -1,0 +1,54 @@
+"""Sharding: every row once, counts at most one apart, slots without gaps, orders that look random."""
+
+from collections import Counter, defaultdict
+
+import pytest
+
+from typeflow.llm import sharding
+from typeflow.session import new_folder
+
+
+@pytest.mark.parametrize("rows", [0, 1, 39, 1000])
+def test_counts_and_slots(documents, rows):
+    docs = documents([f"text {i % 7}" * (i % 50) for i in range(rows)], ["'x' as shard", "1 as slot"])
+    found = sharding.shards(docs, 40, bucket_bytes=4096).collect()
+    assert sorted(r.doc_id for r in found) == list(range(rows))
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots[i]) for i in range(40)]
+    assert max(sizes) - min(sizes) <= 1 and set(slots) <= set(range(40))
+
+
+def test_the_same_seed_gives_the_same_order(documents):
+    docs = documents([f"t{i}" for i in range(300)])
+    first, again, other = (
+        {r.doc_id: (r.shard, r.slot) for r in sharding.shards(docs, 8, seed, 2048).collect()} for seed in (1, 1, 2)
+    )
+    assert first == again != other
+
+
+def test_order_is_mixed(documents):
+    found = sorted(sharding.shards(documents([f"t{i}" for i in range(2000)]), 4, bucket_bytes=8192).collect(), key=lambda r: (r.shard, r.slot))
+    ids = [r.doc_id for r in found]
+    assert abs(sum(a < b for a, b in zip(ids, ids[1:])) - 1000) < 120
+    assert all(abs(n - 250) < 80 for n in Counter((r.shard, r.doc_id // 1000) for r in found).values())
+
+
+def test_nulls_repeated_rows_and_long_texts(documents):
+    rows = [(None, None), (None, None), (5, "x"), (5, "x"), (6, ""), (7, "long " * 100_000)]
+    found = sharding.shards(documents(rows), 3, bucket_bytes=1000).collect()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in found) == [(0, 0), (0, 0), (5, 1), (5, 1), (6, 0), (7, 500_000)]
+    assert Counter(r.shard for r in found) == {0: 2, 1: 2, 2: 2}
+
+
+def test_a_repeated_row_spreads_over_buckets(documents):
+    rows = sharding.scattered(documents([(1, "same")] * 600), 10).groupBy("bucket").count().collect()
+    assert len(rows) == 10 and max(r["count"] for r in rows) < 120
+
+
+def test_shards_are_written(spark, documents):
+    path = new_folder(spark, "shards")
+    sharding.write_shards(sharding.shards(documents([f"t{i}" for i in range(50)]), 5), path)
+    assert {r.shard: r["count"] for r in spark.read.parquet(path).groupBy("shard").count().collect()} == {i: 10 for i in range(5)}
