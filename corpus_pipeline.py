@@ -6,42 +6,62 @@ live-looking secrets are masked; what is left is packed into sequences.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from typeflow.llm import jaccard, line_dedup, packing, secrets, toxicity
 from typeflow.llm.catalog import vocabulary
-from typeflow.llm.common import importable, saved, table
+from typeflow.llm.common import Intermediates, importable, saved, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Tables that the stage before made on its way: each stage's rows are stored before the next one begins.
+_earlier = Intermediates()
+
+
+def stage(function: Stage) -> Stage:
+    """A stage that first removes what the one before left."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        _earlier.remove(spark)
+        with _earlier:
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    importable(spark)
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages, and drops documents of which nothing is left."""
     return line_dedup.deduplicated(docs)
 
 
+@stage
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
-    importable(spark)
     return jaccard.representatives(docs)
 
 
+@stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets that look live."""
     return secrets.redacted(docs)
 
 
+@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences: one row per piece."""
-    importable(spark)
     return packing.pack(docs, vocabulary())
 
 
@@ -59,6 +79,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, function in STAGES:
+        docs = saved(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -24,13 +24,38 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` under the shared folder and reads it again, so that a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Intermediates:
+    """Notes the tables that :func:`saved` writes, to remove them once what was made of them is stored itself."""
+
+    def __init__(self) -> None:
+        self._paths: list[str] = []
+
+    def __enter__(self) -> Intermediates:
+        self._from = len(_written)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._paths += _written[self._from :]
+        del _written[self._from :]
+
+    def remove(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self._paths:
+            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

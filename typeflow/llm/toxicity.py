@@ -232,13 +232,15 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
     @classmethod
-    def fit(cls, n: int, rows, columns, values, target: np.ndarray, size: int, rounds: int = 400, ridge: float = 1e-3):
-        """Logistic regression on soft labels by gradient steps with momentum, each weight at its own pace."""
-        model = cls(np.zeros(size))
+    def fit(cls, n: int, rows, columns, values, target: np.ndarray, prior: np.ndarray, rounds: int = 400, ridge: float = 1e-3):
+        """Logistic regression on soft labels by gradient steps with momentum, each weight at its own pace. The ridge
+        pulls to ``prior``, which labels overrule where they say anything."""
+        model = cls(prior.copy())
+        size = len(prior)
         mean, square = np.zeros(size), np.zeros(size)
         for step in range(1, rounds + 1):
             error = model.scores(n, rows, columns, values) - target
-            gradient = np.bincount(columns, error[rows] * values, size) / max(n, 1) + ridge * model.weights / max(n, 1) * 100
+            gradient = np.bincount(columns, error[rows] * values, size) / max(n, 1) + ridge * (model.weights - prior) / max(n, 1) * 100
             mean = 0.9 * mean + 0.1 * gradient
             square = 0.99 * square + 0.01 * gradient**2
             model.weights -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -264,14 +266,14 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[list
     model = fit_label_model(table[:, 0], table[:, 1], table[:, 2])
 
     rows = seen.join(small, "doc_id").limit(2 * max_labelled).toArrow()
+    prior = np.r_[np.full(len(INSULTS), 6.0), np.zeros(len(words) - len(INSULTS) + 3), -3.0]
     if not len(rows):
-        unseen = np.zeros(len(words) - len(INSULTS))
-        return words, Classifier(np.r_[np.full(len(INSULTS), 4.0), unseen, 1.0, 1.0, 1.0, -3.0]), seen
+        return words, Classifier(prior), seen
     ids, offsets = _flat(rows["ids"])
     counts, _ = _flat(rows["counts"])
     target = model.posterior(rows["pattern"].to_numpy(), rows["toxic"].to_numpy())
     parts = Classifier.features(rows["n_words"].to_numpy(), offsets, ids, counts, len(words))
-    return words, Classifier.fit(len(rows), *parts, target, len(words) + 4), seen
+    return words, Classifier.fit(len(rows), *parts, target, prior), seen
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -319,12 +321,15 @@ def accepted(
         at = {w: i for i, w in enumerate(shared.value[0])}
         linear = Classifier(shared.value[1])
         for batch in batches:
-            found = [WORD.findall((text.as_py() or "").lower()) for text in batch.column(text_at)]
-            seen = [Counter(at[w] for w in words if w in at) for words in found]
+            seen, sizes = [], []
+            for text in batch.column(text_at):  # the words of one text at a time
+                found = WORD.findall((text.as_py() or "").lower())
+                seen.append(Counter(at[w] for w in found if w in at))
+                sizes.append(len(found))
             ids = np.array([i for c in seen for i in c], dtype=np.int64)
             counts = np.array([n for c in seen for n in c.values()], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in seen], dtype=np.int64)])
-            n_words = np.array([len(words) for words in found], dtype=np.int64)
+            n_words = np.array(sizes, dtype=np.int64)
             parts = Classifier.features(n_words, offsets, ids, counts, len(at))
             yield batch.filter(pa.array(linear.scores(len(n_words), *parts) < threshold))
 
