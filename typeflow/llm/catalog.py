@@ -116,6 +116,39 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WARC_SQL = """
+    with p as (
+      select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+      from pages),
+    first as (select payload_digest, min(page_id) as page from p where payload_bytes >= 100 group by payload_digest)
+    select page_id, payload_bytes, p.payload_digest, case when page <> page_id then 'revisit' else 'response' end as record_type,
+      case when page <> page_id then page end as refers_to
+    from p left join first on first.payload_digest = p.payload_digest"""
+
+_JACCARD_SQL = """
+    with recursive texts as (
+      select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    words as (select doc_id, [x for x in regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+') if x <> ''] as w from texts),
+    shingled as (
+      select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as g
+      from words),
+    members as (select doc_id, unnest(g) as shingle from shingled),
+    sizes as (select doc_id, len(g)::bigint as n_shingles from shingled),
+    shared as (
+      select x.doc_id as a, y.doc_id as b, count(*) as common
+      from members x join members y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+    linked as (
+      select a, b from shared join sizes s on s.doc_id = a join sizes t on t.doc_id = b
+      where 100 * common >= 85 * (s.n_shingles + t.n_shingles - common)),
+    ways as (select a, b from linked union all select b, a from linked),
+    reached as (
+      select doc_id, doc_id as low from sizes
+      union
+      select b, low from reached join ways on a = doc_id where low < b)
+    select doc_id, n_shingles, min(low) as component_id from reached join sizes using (doc_id) group by doc_id, n_shingles"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {}
+    return {"op4_warc": _WARC_SQL, "op8_jaccard": _JACCARD_SQL}
