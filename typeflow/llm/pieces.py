@@ -29,7 +29,7 @@ ALPHA = 1.0
 SEED = 7
 SPACE = "▁"
 #: Characters that a worker segments at a time.
-CHARACTERS = 1_000_000
+CHARACTERS = 2_000_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
