@@ -30,7 +30,7 @@ from typeflow.llm.common import components, importable, saved
 WORDS = 5
 PERCENT = 80
 #: Members and sets that a tile holds, about; two tiles are compared in one task.
-TILE_MEMBERS, TILE_SETS = 400_000, 2048
+TILE_MEMBERS, TILE_SETS = 1_500_000, 8192
 BITMAP_WORDS = 16
 #: Words whose hashes a worker keeps before it starts anew; it changes speed only.
 CACHE = 300_000
