@@ -34,8 +34,8 @@ TILE_MEMBERS, TILE_SETS = 1_500_000, 8192
 BITMAP_WORDS = 16
 #: Words whose hashes a worker keeps before it starts anew; it changes speed only.
 CACHE = 300_000
-#: Size bands are powers of two. In bands below SMALL each member is a part; then a part has 2 members, from band
-#: MIDDLE on 3, on average, since many parts are less likely to be empty by far.
+#: Size bands are powers of two. In bands below SMALL each member is a part. Above, there are twice as many parts as the
+#: largest sets of the band may need, from band MIDDLE on a third more: many parts are less likely to be empty by far.
 SMALL, MIDDLE = 8, 9
 #: A member is common if so large a share of the documents has it: their number is bounded by the mean set size over it.
 COMMON = 1 / 2000
@@ -121,16 +121,18 @@ class Rule:
             for band, partner in bands:
                 need = self.limit(size + partner) + 1
                 salt = (4 * band + 2 * bool(fine) + channel) * int(_STEP) % (1 << 64)
-                found = self._shown(members, band, need, salt, band < SMALL or bool(fine))
+                largest = self.limit(2 * ((2 << band) - 1)) + 1
+                count = 0 if band < SMALL or fine else largest * 2 if band < MIDDLE else largest * 4 // 3
+                found = self._shown(members, need, salt, count)
                 short += [band] * (len(found) < need)
                 shown.append(found)
         return np.concatenate(shown), short
 
     @staticmethod
-    def _shown(s: np.ndarray, band: int, need: int, salt: int, single: bool) -> np.ndarray:
-        if single:
+    def _shown(s: np.ndarray, need: int, salt: int, count: int) -> np.ndarray:
+        """The first ``need`` of ``count`` parts that have members; with a count of 0 each member is a part."""
+        if not count:
             return mixed(s[:need] + np.uint64(salt))
-        count = (1 << band) // (2 if band < MIDDLE else 3)
         index = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         starts = np.concatenate([[0], np.flatnonzero(index[1:] != index[:-1]) + 1])
         sums = np.add.reduceat(mixed(s), starts)[:need]
