@@ -87,28 +87,24 @@ def _place() -> Column:
 def matches(rows: DataFrame) -> DataFrame:
     """A later document, an earlier one that was the first to have some of its grams, and these ``grams``."""
     marks = saved(fingerprints(rows), "grams")
-    firsts = marks.groupBy("gram").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
-    firsts = firsts.filter("first != last").select("gram", "first")
+    firsts = marks.groupBy("gram").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.filter("n > 1").select("gram", "first")
     found = marks.join(firsts, "gram").filter(_place() > F.col("first"))
     return found.groupBy(
         "doc_id", "mark", F.col("first.doc_id").alias("from_id"), F.col("first.mark").alias("from_mark")
     ).agg(F.collect_set("gram").alias("grams"))
 
 
-def _sums(w: Column) -> Column:
-    """Words before each line, and in all."""
-    return F.aggregate(w, F.array(F.lit(0)), lambda c, x: F.array_append(c, F.element_at(c, -1) + x))
-
-
-def _runs(same: Column, begin: Column, sums: Column) -> Column:
+def _runs(same: Column, begin: Column, w: Column) -> Column:
     """The runs of true in ``same``, whose first element is line ``begin``, as (start, end), ends exclusive, that have
-    ``RUN`` words or more."""
+    ``RUN`` words or more; ``w`` has the words of each line."""
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc, x):
         closes = ~x & (acc["start"] >= 0)
         done = F.struct(acc["start"].alias("start"), acc["at"].alias("end"))
-        enough = F.get(sums, acc["at"]) - F.get(sums, acc["start"]) >= RUN
+        run = F.slice(w, acc["start"] + 1, acc["at"] - acc["start"])
+        enough = F.aggregate(run, F.lit(0), lambda n, x: n + x) >= RUN
         return F.struct(
             F.when(~x, F.lit(-1)).when(acc["start"] < 0, acc["at"]).otherwise(acc["start"]).alias("start"),
             (acc["at"] + 1).alias("at"),
@@ -130,27 +126,27 @@ def repeated(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "mark", "grams", "from_h")
     mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
     both = both.join(mine, both["doc_id"].eqNullSafe(mine["own_id"]) & (both["mark"] == mine["own_mark"]))
-    both = both.withColumn("g", _grams(F.col("h"))).withColumn("from_g", _grams(F.col("from_h"))).withColumn("c", _sums(F.col("w")))
+    both = both.withColumn("g", _grams(F.col("h"))).withColumn("from_g", _grams(F.col("from_h")))
 
     def line(grams: str, hashes: str, gram: Column) -> Column:
         at, n = F.array_position(grams, gram).cast("int") - 1, F.size(hashes)  # in the order of _grams
         return F.when(at < n - 1, at).when(at < 2 * n - 1, at - n + 1).otherwise(at - 2 * n + 1)
 
     offsets = F.array_distinct(F.transform("grams", lambda g: line("from_g", "from_h", g) - line("g", "h", g)))
-    along = both.select("doc_id", "mark", "h", "from_h", "c", F.explode(offsets).alias("offset"))
+    along = both.select("doc_id", "mark", "h", "from_h", "w", F.explode(offsets).alias("offset"))
     low = F.greatest(F.lit(0), -F.col("offset"))
     high = F.least(F.size("h"), F.size("from_h") - F.col("offset"))
     same = F.zip_with(
         F.slice("h", low + 1, high - low), F.slice("from_h", low + F.col("offset") + 1, high - low), lambda a, b: a == b
     )
-    across = along.select("doc_id", "mark", _runs(same, low, F.col("c")).alias("runs"))
+    across = along.select("doc_id", "mark", _runs(same, low, F.col("w")).alias("runs"))
 
     size = F.greatest(F.size("h") - F.col("period"), F.lit(0))
     lag = F.zip_with(F.slice("h", F.col("period") + 1, size), F.slice("h", F.lit(1), size), lambda a, b: a == b)
     again = [F.lit(p) for p in range(1, PERIOD + 1)]
     inside = rows.select("doc_id", "mark", "h", "w", F.explode(F.array(*again)).alias("period")).withColumn("same", lag)
-    inside = inside.filter(F.array_contains("same", True)).withColumn("c", _sums(F.col("w")))
-    within = inside.select("doc_id", "mark", _runs(F.col("same"), F.col("period"), F.col("c")).alias("runs"))
+    inside = inside.filter(F.array_contains("same", True))
+    within = inside.select("doc_id", "mark", _runs(F.col("same"), F.col("period"), F.col("w")).alias("runs"))
     return (
         across.unionByName(within)
         .select("doc_id", "mark", F.explode("runs").alias("run"))
