@@ -84,3 +84,15 @@ def test_short_lines_in_long_runs(documents):
     rows = [(i, prose(rng, 60) + "\n" + shared + "\n" + prose(rng, 60)) for i in range(4)]
     found = kept(documents, rows)
     assert found[0].removed_lines == 0 and all(found[i].removed_lines >= 55 for i in (1, 2, 3))
+
+
+def test_every_copy_of_an_earlier_passage_goes(documents):
+    rng = random.Random(7)
+    lines = [f"Line{i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for i in range(12)]
+    # The second copy has two lines less, the third one begins later: each has an offset of its own.
+    copies = [lines, lines[:10], lines[2:]]
+    later = "\n".join(x for c in copies for x in [prose(rng, 80), *c]) + "\n" + prose(rng, 80)
+    found = kept(documents, [(1, "\n".join(lines)), (2, later)])
+    assert found[1].removed_lines == 0
+    assert not any(x.split()[0] in found[2].kept for x in lines)
+    assert found[2].removed_lines == sum(map(len, copies))

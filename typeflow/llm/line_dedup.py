@@ -8,9 +8,9 @@ words, in whole lines, that two documents share has a selected gram in both: it
 with them a window of two grams, or many short lines.
 
 Selected grams are joined to the first document that has them, which gives pairs of a later and an earlier document
-with their common grams. The positions of these grams give offsets, and the line hashes of the two documents are
-compared along each, which extends matches both ways; runs of at least ``RUN`` words are deleted from the later
-document. Inside a document, lines that repeat with a period of up to ``PERIOD`` lines are deleted in the same way.
+with their common grams. All places of these grams in the later document, against their first place in the earlier
+one, give offsets, and the line hashes of the two documents are compared along each, which extends matches both ways;
+runs of at least ``RUN`` words are deleted from the later document. Inside a document, lines that repeat with a period of up to ``PERIOD`` lines are deleted in the same way.
 """
 
 from __future__ import annotations
@@ -49,6 +49,11 @@ def _next_to(x: Column, f) -> Column:
     return F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, F.lit(2), size), f)
 
 
+def _once(x: Column, f) -> Column:
+    """``f`` of ``x``, which is evaluated once, however often ``f`` uses it and also where it does so for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _grams(h: Column) -> Column:
     """The grams of all places: of every two lines, then of every line by itself, then of many lines."""
     alone = F.transform(h, lambda a: F.xxhash64(a, F.lit(1)))
@@ -126,14 +131,22 @@ def repeated(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "mark", "grams", "from_h")
     mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
     both = both.join(mine, both["doc_id"].eqNullSafe(mine["own_id"]) & (both["mark"] == mine["own_mark"]))
-    both = both.withColumn("g", _grams(F.col("h"))).withColumn("from_g", _grams(F.col("from_h")))
 
-    def line(grams: str, hashes: str, gram: Column) -> Column:
-        at, n = F.array_position(grams, gram).cast("int") - 1, F.size(hashes)  # in the order of _grams
+    def line(at: Column, hashes: str) -> Column:
+        n = F.size(hashes)  # in the order of _grams
         return F.when(at < n - 1, at).when(at < 2 * n - 1, at - n + 1).otherwise(at - 2 * n + 1)
 
-    offsets = F.array_distinct(F.transform("grams", lambda g: line("from_g", "from_h", g) - line("g", "h", g)))
-    along = both.select("doc_id", "mark", "h", "from_h", "w", F.explode(offsets).alias("offset"))
+    def offsets(theirs: Column) -> Column:
+        def offset(gram: Column, at: Column) -> Column:
+            first = _once(F.array_position(theirs, gram).cast("int") - 1, lambda x: line(x, "from_h"))
+            return F.when(F.array_contains("grams", gram), first - line(at, "h"))
+
+        # Every place of a gram in the later document counts: a passage that it has several times is compared each time.
+        return F.array_distinct(F.array_compact(F.transform(_grams(F.col("h")), offset)))
+
+    found = _once(_grams(F.col("from_h")), offsets)
+    # Explode would have its input evaluated twice, to filter it; explode_outer doesn't.
+    along = both.select("doc_id", "mark", "h", "from_h", "w", F.explode_outer(found).alias("offset")).filter("offset is not null")
     low = F.greatest(F.lit(0), -F.col("offset"))
     high = F.least(F.size("h"), F.size("from_h") - F.col("offset"))
     same = F.zip_with(
@@ -149,7 +162,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     within = inside.select("doc_id", "mark", _runs(F.col("same"), F.col("period"), F.col("w")).alias("runs"))
     return (
         across.unionByName(within)
-        .select("doc_id", "mark", F.explode("runs").alias("run"))
+        .select("doc_id", "mark", F.explode_outer("runs").alias("run"))
+        .filter("run is not null")
         .groupBy("doc_id", "mark")
         .agg(F.array_sort(F.collect_set("run")).alias("runs"))
     )
