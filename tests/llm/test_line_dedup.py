@@ -96,3 +96,39 @@ def test_every_copy_of_an_earlier_passage_goes(documents):
     assert found[1].removed_lines == 0
     assert not any(x.split()[0] in found[2].kept for x in lines)
     assert found[2].removed_lines == sum(map(len, copies))
+
+
+def test_repetition_at_any_distance_inside_a_document(documents):
+    rng = random.Random(8)
+    line = lambda i: f"Line{i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    block, long = [line(i) for i in range(6)], "Long " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    text = [*block, *map(line, range(100, 120)), long, *block, line(200), *block[1:5], line(201), long, *block[:3], line(202)]
+    found = kept(documents, [(1, "\n".join(text)), (2, "\n".join(map(line, range(300, 340))))])
+    # Three lines of the block are 27 words and stay; the long line takes them along where it stands before them.
+    taken = [False] * 27 + [True] * 6 + [False] + [True] * 4 + [False] + [True] * 4 + [False]
+    assert found[1].kept.split("\n") == [x for x, t in zip(text, taken) if not t] and found[2].removed_lines == 0
+
+
+def test_repetition_inside_documents_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, expected = [], {}
+    for doc in range(300):
+        n, kinds = rng.randrange(0, 50), rng.choice([2, 6, 30])
+        words = [rng.choice([1, 4, 9, 35]) for _ in range(kinds)]
+        h = [rng.randrange(kinds) for _ in range(n)]
+        cut = set()
+        for p in range(1, n):
+            at = p
+            while at < n:
+                end = at
+                while end < n and h[end] == h[end - p]:
+                    end += 1
+                if sum(words[x] for x in h[at:end]) >= line_dedup.RUN:
+                    cut |= set(range(at, end))
+                at = end + 1
+        rows.append((doc, 0, h, [words[x] for x in h]))
+        expected[doc] = cut
+    made = spark.createDataFrame(rows, "doc_id bigint, mark bigint, h array<bigint>, w array<int>")
+    found = {r.doc_id: {i for x in r.runs for i in range(x.start, x.end)} for r in line_dedup.within(made).collect() if r.runs}
+    assert sum(map(bool, expected.values())) > 100
+    assert found == {doc: cut for doc, cut in expected.items() if cut}

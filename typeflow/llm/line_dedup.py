@@ -10,7 +10,11 @@ with them a window of two grams, or many short lines.
 Selected grams are joined to the first document that has them, which gives pairs of a later and an earlier document
 with their common grams. All places of these grams in the later document, against their first place in the earlier
 one, give offsets, and the line hashes of the two documents are compared along each, which extends matches both ways;
-runs of at least ``RUN`` words are deleted from the later document. Inside a document, lines that repeat with a period of up to ``PERIOD`` lines are deleted in the same way.
+runs of at least ``RUN`` words are deleted from the later document.
+
+Inside a document, a run of at least ``RUN`` words that stands earlier in it is found exactly, at any distance: such a run
+is made up of the shortest stretches of ``RUN`` words that begin, or end, at each of its lines, and a stretch whose hash
+an earlier one has is deleted.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ LONG = 20
 #: Two lines of fewer words are found in texts that have nothing else in common.
 LEAST, MANY = 8, 8
 RUN = 30
-PERIOD = 4
 
 
 def lines(text: Column) -> Column:
@@ -121,6 +124,64 @@ def _runs(same: Column, begin: Column, w: Column) -> Column:
     return F.aggregate(F.array_append(same, F.lit(False)), start, step, lambda acc: acc["runs"])
 
 
+def _stretches(h: Column, w: Column, way: int) -> Column:
+    """(hash, at, n): for each line the ``n`` lines from it on (``way`` 1) or up to it (-1) that are the fewest with ``RUN``
+    words, ``at`` being the first; null where there are fewer words. A line has a word at least, so ``RUN`` lines are
+    enough to look at."""
+    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+
+    def fewest(_, i):
+        def longer(acc, k):
+            at = i + k * way
+            return F.when((acc["words"] >= RUN) | (at < 0) | (at >= F.size(w)), acc).otherwise(
+                F.struct((acc["words"] + F.get(w, at)).alias("words"), (acc["n"] + 1).alias("n"))
+            )
+
+        steps = F.sequence(F.lit(0), F.lit(RUN - 1))
+        return F.aggregate(steps, zero, longer, lambda acc: F.when(acc["words"] >= RUN, acc["n"]))
+
+    def stretch(n, i):
+        at = i if way > 0 else i - n + 1
+        hashed = F.xxhash64(F.slice(h, at + 1, n), F.lit(way)).alias("hash")
+        return F.when(n.isNotNull(), F.struct(hashed, at.alias("at"), n.alias("n")))
+
+    return F.transform(F.transform(w, fewest), stretch)
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """The runs of lines of each document that repeat earlier lines of it: ``doc_id``, ``mark``, ``runs`` (null without)."""
+    fewer = F.size("h") - F.size(F.array_distinct("h"))
+    rows = rows.filter((fewer > 0) & (fewer * F.array_max("w") >= RUN))  # others have no words enough in repeated lines
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def later(s):
+        """The stretches whose hash one before them has, in order."""
+        return F.sort_array(F.array_compact(_next_to(s, lambda a, b: F.when(
+            a["hash"] == b["hash"], F.struct(b["at"].alias("start"), (b["at"] + b["n"]).alias("end"))
+        ))))
+
+    def step(acc, x):
+        done, apart = F.struct(acc["start"].alias("start"), acc["end"].alias("end")), x["start"] > acc["end"]
+        return F.struct(
+            F.when(apart, x["start"]).otherwise(acc["start"]).alias("start"),
+            F.greatest(acc["end"], x["end"]).alias("end"),
+            F.when(apart, F.array_append(acc["runs"], done)).otherwise(acc["runs"]).alias("runs"),
+        )
+
+    def united(found):
+        first = F.get(found, F.lit(0))
+        start = F.struct(first["start"].alias("start"), first["end"].alias("end"), none.alias("runs"))
+        runs = F.aggregate(
+            found, start, step,
+            lambda acc: F.array_append(acc["runs"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))),
+        )
+        return F.when(F.size(found) > 0, runs)
+
+    stretches = F.concat(_stretches(F.col("h"), F.col("w"), 1), _stretches(F.col("h"), F.col("w"), -1))
+    runs = _once(F.sort_array(F.array_compact(stretches)), lambda s: _once(later(s), united))
+    return rows.select("doc_id", "mark", runs.alias("runs"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Of each document that repeats something: ``doc_id``, ``mark`` and ``runs``, the runs of lines to delete."""
     rows = saved(hashed(docs), "lines")
@@ -153,15 +214,8 @@ def repeated(docs: DataFrame) -> DataFrame:
         F.slice("h", low + 1, high - low), F.slice("from_h", low + F.col("offset") + 1, high - low), lambda a, b: a == b
     )
     across = along.select("doc_id", "mark", _runs(same, low, F.col("w")).alias("runs"))
-
-    size = F.greatest(F.size("h") - F.col("period"), F.lit(0))
-    lag = F.zip_with(F.slice("h", F.col("period") + 1, size), F.slice("h", F.lit(1), size), lambda a, b: a == b)
-    again = [F.lit(p) for p in range(1, PERIOD + 1)]
-    inside = rows.select("doc_id", "mark", "h", "w", F.explode(F.array(*again)).alias("period")).withColumn("same", lag)
-    inside = inside.filter(F.array_contains("same", True))
-    within = inside.select("doc_id", "mark", _runs(F.col("same"), F.col("period"), F.col("w")).alias("runs"))
     return (
-        across.unionByName(within)
+        across.unionByName(within(rows))
         .select("doc_id", "mark", F.explode_outer("runs").alias("run"))
         .filter("run is not null")
         .groupBy("doc_id", "mark")
