@@ -1,0 +1,122 @@
+import random
+import zlib
+from collections import defaultdict
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from typeflow.llm.manifest import derived, height, levels_above, missing, siblings, verified
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+COLUMNS = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def tampered():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def enc(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def climb(digests):
+    """All levels of one tree, each as a list."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def path(levels, i):
+    """(sibling or None, whether it is to the left) from the bottom up."""
+    out = []
+    for level in levels[:-1]:
+        out.append((level[i ^ 1] if i ^ 1 < len(level) else None, i & 1))
+        i >>= 1
+    return out
+
+
+def brute(rows):
+    trees = defaultdict(list)
+    for doc_id, text, lang, source, n_chars in rows:
+        leaf, bad = (h(enc(doc_id), enc(source), enc(lang), enc(n), enc(text)) for n in (n_chars, None if n_chars is None else n_chars + 1))
+        tampered = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 0
+        trees[lang].append((doc_id is not None, doc_id or 0, leaf, bad if tampered else leaf, doc_id))
+    langs = sorted(trees, key=lambda lang: (lang is not None, (lang or "").encode()))
+    grown = {lang: climb([t[2] for t in sorted(trees[lang])]) for lang in langs}
+    top = climb([grown[lang][-1][0] for lang in langs])
+    out = []
+    for place, lang in enumerate(langs):
+        for i, (_, _, leaf, shown, doc_id) in enumerate(sorted(trees[lang])):
+            steps = path(grown[lang], i) + path(top, place)
+            folded = shown
+            for sibling, left in steps:
+                folded = h(folded) if sibling is None else h(sibling, folded) if left else h(folded, sibling)
+            proof = h(*[s for s, _ in steps if s])
+            out.append((doc_id, leaf, grown[lang][-1][0], top[-1][0], proof, folded, folded == top[-1][0]))
+    return sorted(out, key=str)
+
+
+def found(df):
+    assert df.columns == COLUMNS
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def make(count, langs, seed=0):
+    rng = random.Random(seed)
+    return [(i, f"text é {i}", rng.choice(langs), rng.choice(["a", "b", None]), i % 50) for i in rng.sample(range(10 * count), count)]
+
+
+@pytest.mark.parametrize("count, langs", [(1, ["en"]), (7, ["en", None, "de"]), (12_000, ["en"] * 8 + ["de", "fr", None])])
+def test_manifest_equals_brute_force(spark, count, langs):
+    rows = make(count, langs)
+    got = found(verified(spark.createDataFrame(rows, SCHEMA), tampered()))
+    assert got == brute(rows)
+    if count > 1000:
+        assert 0 < sum(not row[-1] for row in got) < count / 4
+
+
+def test_many_languages_make_a_high_upper_tree(spark):
+    rows = make(4000, [f"l{k}" for k in range(1500)] + ["big"] * 1500)
+    assert found(verified(spark.createDataFrame(rows, SCHEMA), tampered())) == brute(rows)
+
+
+def test_nulls_repeated_rows_long_texts_and_clashing_columns(spark):
+    rows = [
+        (None, None, None, None, None), (None, "x", None, None, 1), (3, "same", "en", "s", 4), (3, "same", "en", "s", 4),
+        (3, "other", "en", "s", 4), (4, "", "en", "", 0), (5, "é" * 200_000, "", "s", 200_000), (6, None, "-", "-", 2**63 - 2),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr(
+        "*", "'x' as tree", "1 as n", "2 as i", "3 as place", "'y' as leaf", "'z' as digest", "0 as part", "'r' as root"
+    )
+    assert found(verified(df, tampered())) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert found(verified(spark.createDataFrame([], SCHEMA), tampered())) == []
+
+
+def test_without_tampering_everything_is_verified(spark):
+    assert all(row[-1] for row in found(verified(spark.createDataFrame(make(50, ["en", "de"]), SCHEMA))))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 64, 100])
+def test_octopus_fetches_no_node_that_follows_from_others(n):
+    rng = random.Random(n)
+    levels = climb([str(i) for i in range(n)])
+    assert levels == levels_above(levels[0], height(n))
+    for size in {1, 2, n // 2 + 1, n}:
+        known = set(rng.sample(range(n), min(size, n)))
+        arms = missing(set(known), 0, n)
+        inside = {(level, i >> level) for level in range(height(n) + 1) for i in known}
+        assert len(set(arms)) == len(arms) and not inside & set(arms)
+        nodes = {(0, i): str(i) for i in known} | {(level, i): levels[level][i] for level, i in arms}
+        derived(nodes, set(known), 0, n)
+        assert nodes[height(n), 0] == levels[-1][0]
+        for i in known:
+            assert list(siblings(nodes, i, 0, n)) == [(s, bool(left)) for s, left in path(levels, i)]

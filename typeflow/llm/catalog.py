@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeflow.llm import fingerprints, jaccard, line_dedup, neighbours, packing, pieces, secrets, sharding, toxicity, warc
+from typeflow.llm import (
+    fingerprints,
+    jaccard,
+    line_dedup,
+    manifest,
+    neighbours,
+    packing,
+    pieces,
+    prefix_trie,
+    secrets,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+)
 from typeflow.llm.common import importable, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +115,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    importable(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.verified(table(spark, sf_dir, "documents"), tampered)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -113,6 +145,9 @@ def queries() -> dict[str, Query]:
         "op8_jaccard": op8_jaccard,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_token_counts": op12_token_counts,
+        "op13_manifest": op13_manifest,
     }
 
 
@@ -149,6 +184,106 @@ _JACCARD_SQL = """
     select doc_id, n_shingles, min(low) as component_id from reached join sizes using (doc_id) group by doc_id, n_shingles"""
 
 
+def _crc32_sql(number: str) -> str:
+    """CRC-32 of a number's decimal digits: each byte is one exclusive or and eight shifts."""
+    steps = f"flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split({number}::varchar, '')])"
+    shifted = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"""xor(list_reduce(list_concat([4294967295::bigint], {steps}),
+      lambda a, b: case when b >= 0 then xor(a, b) else {shifted} end), 4294967295)"""
+
+
+_TRIE_SQL = f"""
+    with turned as (
+      select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn,
+        sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as digest
+      from conversations where conv_id is not null),
+    own as (
+      select conv_id, list({{'role': role, 'text': text}} order by turn nulls first, digest) as turns, {_crc32_sql("conv_id")} % 9 as h
+      from turned group by conv_id),
+    built as (
+      select c.conv_id, list_concat(coalesce(b.turns[:c.h], []), c.turns[c.h + 1:]) as path
+      from own c left join own b on b.conv_id = c.conv_id - c.conv_id % 5),
+    prefix as (select conv_id, unnest(range(0, len(path) + 1)) as depth, path from built),
+    member as (select conv_id, depth, path[:depth] as node, depth = len(path) as ends from prefix),
+    node as (
+      select node, min(conv_id) as conv_id, any_value(depth) as depth, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+      from member group by node),
+    child as (select node[:depth - 1] as node, count(*) as n_children from node where depth > 0 group by 1),
+    known as (
+      select n.*, coalesce(n_children, 0) as n_children,
+        case when depth = 0 then 0 else (n_convs - 1) * octet_length(encode(n.node[depth].text)) end as own_saved
+      from node n left join child c on c.node = n.node),
+    above as (
+      select top.node, (known.n_children = 0)::bigint as leaf, known.own_saved
+      from (select node, n_children, own_saved, unnest(range(0, depth + 1)) as up from known) known
+      join known top on top.node = known.node[:known.up]),
+    summed as (select node, sum(leaf)::bigint as n_leaves, sum(own_saved)::bigint as saved_tokens from above group by node)
+    select k.conv_id, k.depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+    from known k join summed s on s.node = k.node left join known p on k.depth > 0 and p.node = k.node[:k.depth - 1]"""
+
+
+def _encoded_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::varchar)) || ':' || ({value})::varchar, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(_encoded_sql(value) for value in values) + ")"
+
+
+def _climb_sql(name: str, bottom: str) -> str:
+    """All levels of every tree of ``bottom`` (t, i, n, digest)."""
+    return f"""{name} as (
+      select t, 0 as level, i, n, digest from {bottom}
+      union all
+      select t, level + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' order by i))
+      from {name} where n > 1 group by t, level, i // 2)"""
+
+
+def _walk_sql(name: str, bottom: str, tree: str) -> str:
+    """Each leaf of ``bottom`` (id, t, i, n, folded, proof) with its siblings from ``tree`` folded in, level by level."""
+    return f"""{name} as (
+      select id, t, 0 as level, i, n, folded, proof from {bottom}
+      union all
+      select w.id, w.t, w.level + 1, w.i // 2, (w.n + 1) // 2,
+        sha256(case when w.i % 2 = 1 then s.digest || w.folded else w.folded || coalesce(s.digest, '') end),
+        w.proof || coalesce(s.digest, '')
+      from {name} w left join {tree} s on s.t = w.t and s.level = w.level and s.i = w.i + 1 - 2 * (w.i % 2)
+      where w.n > 1)"""
+
+
+_MANIFEST_SQL = f"""
+    with recursive raw as (
+      select *, {_leaf_sql("n_chars")} as leaf,
+        case when {_crc32_sql("coalesce(doc_id, 0)")} % 7 = 0 and doc_id is not null and n_chars is not null
+          then {_leaf_sql("n_chars + 1")} else {_leaf_sql("n_chars")} end as shown,
+        coalesce('l' || lang, '0') as tree_key
+      from documents),
+    placed as (
+      select *, row_number() over () as id, row_number() over (partition by tree_key order by doc_id nulls first, leaf) - 1 as i,
+        count(*) over (partition by tree_key) as n
+      from raw),
+    bottom as (select tree_key as t, i, n, leaf as digest from placed),
+    {_climb_sql("tree", "bottom")},
+    subroot as (
+      select t as tree_key, '' as t, row_number() over (order by t) - 1 as i, count(*) over () as n, digest from tree where n = 1),
+    {_climb_sql("upper", "subroot")},
+    leaves as (select id, tree_key as t, i, n, shown as folded, '' as proof from placed),
+    {_walk_sql("walk", "leaves", "tree")},
+    halfway as (
+      select w.id, s.t, s.i, s.n, w.folded, w.proof from walk w join subroot s on s.tree_key = w.t where w.n = 1),
+    {_walk_sql("rest", "halfway", "upper")}
+    select p.doc_id, p.leaf, s.digest as subroot, u.digest as root, sha256(r.proof) as proof_sha256, r.folded as folded_root,
+      r.folded = u.digest as verified
+    from placed p join rest r on r.id = p.id and r.n = 1 join subroot s on s.tree_key = p.tree_key, (select digest from upper where n = 1) u"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op4_warc": _WARC_SQL, "op8_jaccard": _JACCARD_SQL}
+    return {
+        "op4_warc": _WARC_SQL,
+        "op8_jaccard": _JACCARD_SQL,
+        "op11_conversation_trie": _TRIE_SQL,
+        "op13_manifest": _MANIFEST_SQL,
+    }
