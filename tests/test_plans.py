@@ -13,6 +13,7 @@ from typeflow.operators.rhythm import time_of_day, time_of_day_dense
 from typeflow.operators.sessions import active_sessions, active_sessions_by_app, recent_sessions_by_app, session_times
 from typeflow.operators.sites import site_reach, top_sites
 from typeflow.plans import catalog
+from typeflow.plans.reports import weekly_report_rows
 from typeflow.session import new_folder
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,7 +64,7 @@ def exchanges(plan: str) -> list[tuple[str, str]]:
     return [(line, lines[i + 1]) for i, line in enumerate(lines) if line.startswith("Exchange ")]
 
 
-@pytest.mark.parametrize("operator", [typing_speed, session_times, speed_by_time_of_day, time_of_day, time_of_day_dense])
+@pytest.mark.parametrize("operator", [typing_speed, session_times, time_of_day, time_of_day_dense])
 def test_events_are_aggregated_before_their_first_shuffle(tables, operator):
     ev, _ = tables
     feeders = [below for _, below in exchanges(plan_of(operator(ev) if operator is time_of_day_dense else operator(ev, AS_OF)))]
@@ -84,6 +85,29 @@ def test_sessions_aggregate_before_the_shuffle_and_share_it(tables):
         assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
+@pytest.mark.parametrize("by_user", [False, True])
+def test_speed_by_time_of_day_shuffles_and_sorts_events_once(tables, by_user):
+    plan = plan_of(speed_by_time_of_day(tables[0], AS_OF, by_user=by_user))
+    shuffled = [line for line, _ in exchanges(plan)]
+    assert len(shuffled) <= 4
+    assert sum("slice" in line for line in shuffled) == 1  # the events; what follows are rows of slices and flows
+    assert len([line for line in plan.splitlines() if "Sort [" in line and "keystroke_id" in line]) == 1
+
+
+def test_weekly_report_scans_its_source_once(tables):
+    df = weekly_report_rows(tables[0], AS_OF)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1
+    assert "WindowGroupLimit" in final  # the top sites are pruned in each task
+    assert exchanges(final)[-1][1].startswith("HashAggregate")
+
+
+def test_month_windows_take_no_lambda_per_event(spark):
+    plan = plan_of(catalog.queries()["q01_typing_speed_monthly"](spark, SF_DIR))
+    assert "array_max" not in plan
+
+
 def test_second_newest_event_is_pruned_before_the_shuffle(tables):
     plan = plan_of(session_times(tables[0], AS_OF))
     assert "row_number(), 2, Partial" in plan and "row_number(), 2, Final" in plan

@@ -61,8 +61,8 @@ def test_insights(events):
     assert len(series) == 96 and series[-1].speed == 3 and series[-1].event_count == 3
     assert series[0].window_start == AS_OF - timedelta(days=1)
     assert tables["top_sites"].first().event_count == 3
-    with pytest.raises(ValueError):
-        insights(ev, AS_OF, "5 days")
+    for period, windows in (("5 days", 480), ("90 minutes", 6)):
+        assert insights(ev, AS_OF, period)["typing"].count() == windows
 
 
 def test_views(spark, keys):

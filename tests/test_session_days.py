@@ -1,0 +1,86 @@
+import random
+import re
+from datetime import date, timedelta
+
+import pytest
+
+from tests.conftest import AS_OF, KEY_SCHEMA
+from tests.rows import same_rows
+from typeflow.operators.session_days import SessionDays
+from typeflow.operators.sessions import active_sessions, active_sessions_by_app, recent_sessions_in_full
+from typeflow.session import new_folder
+
+COLUMNS = ["session_date", "session_number", "session_start", "session_end", "duration"]
+
+
+def log(keys, seed, days=20, apps=("a", "b", None)):
+    """Bursts that cross midnight, days without events, and one app with most of them."""
+    rng = random.Random(seed)
+    times = []
+    for day in range(days):
+        if rng.random() < 0.7:
+            start = AS_OF - timedelta(days=day, minutes=rng.choice([30, 700, 719, 721]))
+            times += [start + timedelta(seconds=rng.randint(0, 7200)) for _ in range(30)]
+    return keys([(t, rng.choice([apps[0], *apps])) for t in times])
+
+
+@pytest.mark.parametrize("steps", [[0], [12, 5, 0], [5, 5, 5], [19, 0]])
+@pytest.mark.parametrize("by", [(), ("App",)])
+def test_kept_days_give_the_same_sessions_and_numbers(spark, keys, steps, by):
+    kev = log(keys, len(steps))
+    days = SessionDays(new_folder(spark, "days"), by, "10 minutes")
+    for back in steps:
+        days.update(kev, AS_OF - timedelta(days=back))
+    for lookback in ("12 hours", "36 hours", "9 days"):
+        expected = recent_sessions_in_full(kev, AS_OF, lookback) if by else active_sessions(kev, AS_OF, "10 minutes", lookback)
+        assert expected.count() > 0 or lookback != "9 days"
+        same_rows(days.recent(kev, AS_OF, lookback), expected, [*by, *COLUMNS])
+
+
+def test_nothing_kept_yet_and_no_events(spark, keys):
+    kev = log(keys, 3)
+    days = SessionDays(new_folder(spark, "days"), ("App",), "10 minutes")
+    assert days.until(kev) is None
+    same_rows(days.recent(kev, AS_OF, "2 days"), recent_sessions_in_full(kev, AS_OF, "2 days"), ["App", *COLUMNS])
+    empty = spark.createDataFrame([], KEY_SCHEMA)
+    nothing = SessionDays(new_folder(spark, "days"), (), "10 minutes")
+    nothing.update(empty, AS_OF)
+    assert nothing.recent(empty, AS_OF).collect() == []
+
+
+def test_late_events_count_once_their_days_are_done_again(spark, keys):
+    kev = log(keys, 4)
+    days = SessionDays(new_folder(spark, "days"), (), "3 minutes")
+    days.update(kev, AS_OF)
+    late = kev.unionByName(keys([(AS_OF - timedelta(days=6, minutes=m), "late") for m in (0, 1, 300, 301)]))
+    expected = active_sessions(late, AS_OF, lookback="36 hours").collect()
+    assert days.recent(late, AS_OF, "36 hours").collect() != expected
+    days.update(late, AS_OF, since=date(2024, 3, 1))
+    assert days.recent(late, AS_OF, "36 hours").collect() == expected
+
+
+def test_only_the_last_dates_are_scanned(spark, keys):
+    path = new_folder(spark, "kev")
+    log(keys, 5).write.parquet(path)
+    kev = spark.read.parquet(path)
+    days = SessionDays(new_folder(spark, "days"), ("App",), "10 minutes")
+    days.update(kev, AS_OF)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+
+    def cutoffs(df):
+        # Both levels of sessions read the same exchange in the end.
+        return re.findall(r"GreaterThan(?:OrEqual)?\(Timestamp,(\d{4}-\d\d-\d\d)", df._jdf.queryExecution().executedPlan().toString())
+
+    assert set(cutoffs(days.recent(kev, AS_OF, "3 hours"))) == {str(days.until(kev) + timedelta(days=1))}
+    assert set(cutoffs(days.recent(kev, AS_OF, "5 days"))) == {"2024-03-05"}
+    assert cutoffs(active_sessions_by_app(kev)) == []
+    # An update reads what came after the dates that are kept.
+    read = []
+    starting = SessionDays.update.__globals__["starting"]
+    SessionDays.update.__globals__["starting"] = lambda df, ts, cutoff, **kw: read.append(cutoff.date()) or starting(df, ts, cutoff, **kw)
+    try:
+        kept = days.until(kev)
+        days.update(kev, AS_OF + timedelta(days=1))
+    finally:
+        SessionDays.update.__globals__["starting"] = starting
+    assert read == [kept + timedelta(days=1)]

@@ -66,6 +66,16 @@ def test_apps_have_their_own_sessions(keys):
     assert (extent.first_start, extent.last_end) == (DAY, DAY + timedelta(minutes=6))
 
 
+def test_apps_and_extent_of_recent_sessions(keys):
+    kev = keys(at(0, 2) + at(1500, 1503, app="Mail") + at(1600, app="Once") + at(1501, 1502, app=None))
+    recent = {"as_of": DAY + timedelta(minutes=1600), "lookback": "3 hours"}
+    assert {r.App for r in session_apps(kev, **recent).collect()} == {"Mail", None}
+    extent = session_extent(kev, **recent).first()
+    assert (extent.first_start, extent.last_end) == (DAY + timedelta(minutes=1500), DAY + timedelta(minutes=1503))
+    nothing = session_extent(kev, as_of=DAY + timedelta(days=9), lookback="1 hour").first()
+    assert (nothing.first_start, nothing.last_end) == (None, None)
+
+
 def test_overall_sessions_cross_apps_and_filter_after_numbering(keys):
     kev = keys(at(0, 3) + at(6, app="Mail") + at(10, 11) + at(1500, 1501))
     rows = active_sessions(kev, DAY + timedelta(hours=25, minutes=30)).collect()

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -12,7 +13,15 @@ from typeflow.operators.evolution import add_tags
 from typeflow.operators.sites import top_sites
 from typeflow.schema import KEY_EVENTS, RAW_REQUEST, TYPING_EVENTS
 from typeflow.session import new_folder
-from typeflow.sources.events import append_events, ingest_batches, read_events, rejected_batches, write_records
+from typeflow.sources.events import (
+    append_events,
+    ingest_batches,
+    numbered_events,
+    read_events,
+    rejected_batches,
+    store_batch,
+    write_records,
+)
 from typeflow.sources.key_csv import key_preview, read_key_csv, write_key_csv
 
 HEADER = "Timestamp,Interval_ns,SeqNum,App,Title,Category\n"
@@ -63,6 +72,11 @@ def test_a_bad_event_refuses_its_request_only(spark):
         "2024-03-10T13:59:00+02:00",
         "2024-03-10T06:29:00.000-05:30",
         "2024-03-10T12:59:00 Europe/Paris",
+        "2024-03-10T11:59Z",
+        "2024-03-10 11:59",
+        "2024-03-10T13:59+02:00",
+        "2024-03-10T13:59+0200",
+        "2024-03-10T12:59 Europe/Paris",
     ],
 )
 def test_times_with_a_zone_are_stored_as_utc(spark, text):
@@ -155,6 +169,72 @@ def test_empty_cells_are_null_and_fit(spark, tmp_path):
     assert rows["C"].Timestamp is None
 
 
+def large_csv(tmp_path, seed):
+    """Files with titles over many lines, quotes, empty lines, Windows line ends and bad rows."""
+    rng = random.Random(seed)
+    for i in range(3):
+        end = "\r\n" if i == 1 else "\n"
+        lines = [HEADER.strip()]
+        for k in range(400):
+            title = "".join(rng.choice(["x", " ", "\n", "\n\n", '""', ",", "é", "\n" * 40]) for _ in range(rng.choice([0, 3, 30])))
+            row = f'2025-01-26T09:{k // 60:02d}:{k % 60:02d}Z,{k},{rng.choice(["", "0"])},"App{i}","{title}","Space"'
+            lines.append(rng.choice([row] * 8 + ["", "short,row", row + ",extra", "tomorrow" + row[20:]]))
+        lines.append('2025-01-26T10:00:00Z,1,0,"Last","' + "long\n" * 3000 + '","Space"')
+        (tmp_path / f"{i}.csv").write_bytes((end.join(lines) + (end if i else "")).encode())
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("size", ["60", "777", "16k", "128m"])
+def test_large_csv_files_are_read_by_many_tasks_with_the_same_rows(spark, tmp_path, size):
+    path = large_csv(tmp_path, len(size))
+    expected = read_key_csv(spark, path, split=False).collect()
+    assert len(expected) > 800
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name in names:
+            spark.conf.set(name, "16k" if size == "60" else size)
+        if size == "60":
+            spark.conf.set(names[0], "900")
+            spark.conf.set(names[1], "1")
+        found = read_key_csv(spark, path)
+        assert sorted(found.collect(), key=str) == sorted(expected, key=str)
+        assert found.filter("App = 'Last'").count() == 3
+        if size != "128m":
+            assert found.rdd.getNumPartitions() >= 3
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def test_numbered_events_have_unique_ids_without_gaps_in_time_order(spark, events):
+    rng = random.Random(2)
+    ev = events([{"t": AS_OF - timedelta(seconds=rng.randint(0, 300)), "user": rng.choice("ab")} for _ in range(2000)])
+    for column in ("ingestion_time timestamp_ntz", "batch_id string", "agent_description string"):
+        name, kind = column.split()
+        ev = ev.withColumn(name, F.lit(None).cast(kind))
+    rows = sorted(numbered_events(ev, 50).select("keystroke_id", "record_time", "user_id").collect())
+    assert [r.keystroke_id for r in rows] == list(range(50, 2050))
+    assert [(r.record_time, r.user_id) for r in rows] == sorted((r.record_time, r.user_id) for r in rows)
+
+
+def test_batches_go_on_numbering_and_a_repeated_one_keeps_its_ids(spark):
+    path = new_folder(spark, "numbered")
+    batches = [ingest_batches(requests(spark, [event(session_id=f"{n}-{k}") for k in range(3 + n)])) for n in range(5)]
+    for n, batch in enumerate(batches):
+        store_batch(batch, n, path)
+        if n in (0, 3):
+            first = sorted(r.keystroke_id for r in read_events(spark, path).collect())
+            store_batch(batch, n, path)  # as after a failure
+            assert sorted(r.keystroke_id for r in read_events(spark, path).collect()) == first
+    rows = read_events(spark, path).collect()
+    assert sorted(r.keystroke_id for r in rows) == list(range(1, 26))
+    assert all(r.session_id.startswith("4-") for r in rows if r.keystroke_id > 18)
+    store_batch(batches[0].limit(0), 5, path)
+    store_batch(batches[0], 6, path)
+    assert sorted(r.keystroke_id for r in read_events(spark, path).collect()) == list(range(1, 29))
+
+
 def test_csv_round_trip_in_a_zone(spark):
     path = new_folder(spark, "csv")
     kev = spark.createDataFrame([(datetime(2025, 1, 26, 11), Decimal(1), 0, "A", "t", "Space")], KEY_EVENTS)

@@ -28,6 +28,14 @@ from typeflow.operators.common import looking_back
 from typeflow.operators.islands import slices
 
 
+def _last_start(us: Column, starts: list[int]) -> Column:
+    """The last of ``starts`` that isn't after ``us``, which isn't before the first: halved by a comparison each time."""
+    if len(starts) == 1:
+        return F.lit(starts[0]).cast("long")
+    half = len(starts) // 2
+    return F.when(us < F.lit(starts[half]), _last_start(us, starts[:half])).otherwise(_last_start(us, starts[half:]))
+
+
 class WindowSpine:
     """Window starts ``as_of - lookback + k * resolution`` up to ``as_of``, in microseconds.
 
@@ -58,8 +66,7 @@ class WindowSpine:
         inside = (us >= F.lit(self.first)) & (us < F.lit(self.end))
         if self.step is not None:
             return F.when(inside, floor_to(us, self.step, self.first))
-        begun = F.filter(F.array(*[F.lit(s) for s in self.starts]), lambda s: s <= us)
-        return F.when(inside, F.array_max(begun))
+        return F.when(inside, _last_start(us, self.starts))
 
     def between(self, low: Column, until: Column | None) -> Column:
         """Starts from ``low`` up to, but without, ``until`` (NULL: to the end of the spine)."""
@@ -172,9 +179,10 @@ def speed_by_time_of_day(
     An event's interval runs to the next event of its session on any URL; flows are kept per URL and session. An
     event followed by a pause opens the next flow number of its URL; only intervals below the pause count.
 
-    Events of one moment and URL are first merged. Inside a slice of the pause's width an interval can only exceed
-    the pause at the slice's last event, so everything but that event is summed per slice, and what remains to be
-    ordered per session is one row per slice.
+    Events are shuffled and sorted once, by session and slice of the pause's width. Inside a slice only the last event's
+    interval can exceed the pause, so a slice is summed up in one row per URL: its intervals, and its last event, whose
+    interval is known once the session's next slice is. These rows are ordered per session to find it, and then per URL
+    to carry the breaks on; both keep the one exchange of them.
     """
     gap = fixed_micros(flow_gap)
     if gap <= 0:
@@ -182,55 +190,50 @@ def speed_by_time_of_day(
     users = ["user_id"] if by_user else []
     session = [*users, "session_id"]
     site = [*session, "source_url"]
-    moments = (
+    in_slice = Window.partitionBy(*session, "slice").orderBy("us", "keystroke_id")
+    followed = (
         looking_back(ev, as_of, lookback)
-        .withColumn("us", micros("record_time"))
-        .groupBy(*site, "us")
-        .agg(F.count("*").alias("n"), F.max("keystroke_id").alias("last_id"))
+        .select(*site, "keystroke_id", micros("record_time").alias("us"))
+        .filter("us is not null")
         .withColumn("slice", floor_to(F.col("us"), gap))
+        .withColumn("next_us", F.lead("us").over(in_slice))
+        .withColumn("first_us", F.first("us").over(in_slice))
+        .withColumn("end_us", F.last("us").over(in_slice.rowsBetween(0, Window.unboundedFollowing)))
     )
-    in_slice = Window.partitionBy(*session, "slice").orderBy("us", "last_id")
-    followed = moments.withColumn("next_us", F.lead("us").over(in_slice)).withColumn(
-        "first_us", F.first("us").over(in_slice)
+    # Events of the last moment that the last event's URL also has share its fate: they come after its break.
+    inner = F.col("us") < F.col("end_us")
+    last = F.col("next_us").isNull()
+    slices_of_sites = followed.groupBy(*site, "slice").agg(
+        F.first("first_us").alias("first_us"),
+        F.sum(F.when(inner, F.col("next_us") - F.col("us")).otherwise(0)).alias("inner_us"),
+        F.count_if(inner).alias("inner_count"),
+        F.min(F.when(inner, F.col("us"))).alias("inner_from"),
+        F.count_if(~inner & ~last).alias("beside"),
+        F.max(F.when(~inner, F.col("us"))).alias("end_us"),
+        F.count_if(last).alias("has_last"),
     )
 
-    # All but the last event of a slice: the interval is known and below the pause.
-    inner = (
-        followed.filter(F.col("next_us").isNotNull())
-        .groupBy(*site, "slice")
-        .agg(
-            F.sum(F.col("next_us") - F.col("us")).alias("total_us"),
-            F.sum("n").alias("kept"),
-            F.min("us").alias("from_us"),
-        )
-        .withColumn("breaks", F.lit(0))
+    # The row with the slice's last event stands last in its slice, so that the next slice's row follows it.
+    chain = Window.partitionBy(*session).orderBy("slice", "has_last")
+    interval = F.when(F.col("has_last") == 1, F.lead("first_us").over(chain) - F.col("end_us"))
+    # A break separates what follows the slice: the events before it in the slice belong to the flow so far.
+    so_far = Window.partitionBy(*site).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    part = "named_struct('flow_id', {}, 'us', {}, 'kept', {}, 'from_us', {})"
+    head = part.format("before", "inner_us", "inner_count", "inner_from")
+    tail = part.format(
+        "before + breaks", "if(counts, interval, 0L)", "beside + if(counts, 1, 0)", "if(beside > 0 or counts, end_us, null)"
     )
-
-    # The last event of a slice: its interval runs to the session's next slice.
-    chain = Window.partitionBy(*session).orderBy("slice")
-    interval = F.col("next_first") - F.col("us")
-    outer = (
-        followed.filter(F.col("next_us").isNull())
-        .withColumn("next_first", F.lead("first_us").over(chain))
-        .withColumn("counts", F.coalesce(interval < F.lit(gap), F.lit(False)))
-        .select(
-            *site,
-            "slice",
-            F.when(F.col("counts"), interval).otherwise(0).alias("total_us"),
-            (F.col("n") - F.when(F.col("counts"), 0).otherwise(1)).alias("kept"),
-            F.col("us").alias("from_us"),
-            F.coalesce(interval > F.lit(gap), F.lit(False)).cast("int").alias("breaks"),
-        )
-    )
-
-    order = Window.partitionBy(*site).orderBy("slice", "breaks")
     flows = (
-        inner.unionByName(outer)
-        .withColumn("flow_id", F.sum("breaks").over(order))
+        slices_of_sites.withColumn("interval", interval)
+        .withColumn("counts", F.coalesce(F.col("interval") < F.lit(gap), F.lit(False)))
+        .withColumn("breaks", F.coalesce(F.col("interval") > F.lit(gap), F.lit(False)).cast("long"))
+        .withColumn("before", F.coalesce(F.sum("breaks").over(so_far), F.lit(0)))
+        .select(*site, F.expr(f"explode(array({head}, {tail})) as part"))
+        .select(*site, "part.*")
         .filter(F.col("kept") > 0)
         .groupBy(*site, "flow_id")
         .agg(
-            (F.sum("total_us") / F.lit(1000.0) / F.sum("kept")).alias("avg_ms"),
+            (F.sum("us") / F.lit(1000.0) / F.sum("kept")).alias("avg_ms"),
             F.min("from_us").alias("from_us"),
             F.sum("kept").alias("event_count"),
         )

@@ -43,37 +43,61 @@ def slices(
     )
 
 
-def daily_sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: int, numbered: bool = True) -> DataFrame:
-    """Sessions per key and date, in microseconds (``lo``, ``hi``), with the key's running ``session_number``.
+def day_parts(df: DataFrame, keys: Sequence[str], ts: str, gap: int) -> DataFrame:
+    """Each date's runs per key: ``part`` counts from 0, ``lo`` and ``hi`` in microseconds.
 
-    A session that goes on over midnight is split by date and keeps its number. Inside a date the boundaries depend
-    on that date's events only, so dates are handled on their own; the numbers need one more step over a table of
-    one row per key and date.
+    Inside a date the boundaries depend on that date's events only, so dates are handled on their own.
     """
-    keys = list(keys)
     # No slice reaches over midnight, so a slice knows its date.
     pieces = slices(df, keys, micros(ts), day_divisor(gap)).withColumn(
         "session_date", F.to_date(from_micros(F.col("slice")))
     )
     day = Window.partitionBy(*keys, "session_date").orderBy("lo")
-    parts = (
+    return (
         pieces.withColumn("opens", F.coalesce(F.col("lo") - F.lag("hi").over(day) > F.lit(gap), F.lit(False)))
         .withColumn("part", F.sum(F.col("opens").cast("long")).over(day))
         .groupBy(*keys, "session_date", "part")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
-    if not numbered:
-        return parts.drop("part")
 
-    dates = parts.groupBy(*keys, "session_date").agg(
+
+def day_gaps(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What the days around need to know of a key's date: its first and last moment and the gaps between."""
+    return parts.groupBy(*keys, "session_date").agg(
         F.min("lo").alias("first_lo"), F.max("hi").alias("last_hi"), F.max("part").alias("breaks")
     )
+
+
+def counted_days(dates: DataFrame, keys: Sequence[str], gap: int, earlier: DataFrame | None = None) -> DataFrame:
+    """:func:`day_gaps` with ``sessions``, the key's sessions up to the end of the date.
+
+    ``earlier`` holds ``session_date``, ``last_hi`` and ``sessions`` of the last date before these, for keys that have one.
+    """
     history = Window.partitionBy(*keys).orderBy("session_date")
-    opens = F.coalesce(F.col("first_lo") - F.lag("last_hi").over(history) > F.lit(gap), F.lit(True))
-    numbers = (
-        dates.withColumn("opens", opens.cast("long"))
-        .withColumn("before", F.sum(F.col("opens") + F.col("breaks")).over(history) - F.col("breaks"))
-        .select(*keys, "session_date", "before")
+    new = F.coalesce(F.col("first_lo") - F.lag("last_hi").over(history) > F.lit(gap), F.lit(True)).cast("long") + F.col("breaks")
+    if earlier is not None:
+        dates = dates.unionByName(earlier, allowMissingColumns=True)
+        new = F.coalesce("sessions", new)
+    counted = dates.withColumn("new", new).withColumn("total", F.sum("new").over(history))
+    if earlier is not None:
+        counted = counted.filter("sessions is null").drop("sessions")
+    return counted.drop("new").withColumnRenamed("total", "sessions")
+
+
+def daily_sessions(
+    df: DataFrame, keys: Sequence[str], ts: str, gap: int, numbered: bool = True, earlier: DataFrame | None = None
+) -> DataFrame:
+    """Sessions per key and date, in microseconds (``lo``, ``hi``), with the key's running ``session_number``.
+
+    A session that goes on over midnight is split by date and keeps its number. The numbers need one more step over a
+    table of one row per key and date; ``earlier`` stands for the dates before ``df`` (see :func:`counted_days`).
+    """
+    keys = list(keys)
+    parts = day_parts(df, keys, ts, gap)
+    if not numbered:
+        return parts.drop("part")
+    numbers = counted_days(day_gaps(parts, keys), keys, gap, earlier).select(
+        *keys, "session_date", (F.col("sessions") - F.col("breaks")).alias("before")
     )
     return join_same(parts, numbers, [*keys, "session_date"]).select(
         *keys, "session_date", (F.col("before") + F.col("part")).alias("session_number"), "lo", "hi"

@@ -91,14 +91,16 @@ def total_active_time(kev: DataFrame, as_of=None, gap="3 minutes", lookback="24
     )
 
 
-def session_apps(kev: DataFrame, gap="10 minutes") -> DataFrame:
-    """Apps that have sessions."""
-    return _unnumbered(kev, ["App"], gap).select("App").distinct()
+def session_apps(kev: DataFrame, gap="10 minutes", as_of=None, lookback: str | None = None) -> DataFrame:
+    """Apps that have sessions, or sessions that began in the last ``lookback``: the rows of a time chart."""
+    since = None if lookback is None else before(as_of, lookback)
+    return _unnumbered(kev, ["App"], gap, since).select("App").distinct()
 
 
-def session_extent(kev: DataFrame, gap="10 minutes") -> DataFrame:
-    """First start and last end over all sessions: the ends of a time axis."""
-    return _unnumbered(kev, ["App"], gap).agg(
+def session_extent(kev: DataFrame, gap="10 minutes", as_of=None, lookback: str | None = None) -> DataFrame:
+    """First start and last end over all sessions, or those that began in the last ``lookback``: the ends of a time axis."""
+    since = None if lookback is None else before(as_of, lookback)
+    return _unnumbered(kev, ["App"], gap, since).agg(
         F.min("session_start").alias("first_start"), F.max("session_end").alias("last_end")
     )
 

@@ -5,7 +5,8 @@ Doubles are rounded to six places, and intervals given as seconds, so that resul
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,12 @@ from typeflow.operators.sessions import (
     session_times,
     total_active_time,
 )
+from typeflow.operators.session_days import SessionDays
 from typeflow.operators.sites import host_sample, site_counts, site_reach, site_users, top_sites
 from typeflow.plans.reports import insights, week_over_week, week_over_week_pivot, weekly_report_rows
 from typeflow.plans.views import create_views
 from typeflow.session import new_folder
-from typeflow.sources.events import append_events, ingest_batches, read_events
+from typeflow.sources.events import append_events, ingest_batches, numbered_events, read_events
 from typeflow.sources.key_csv import key_preview, read_key_csv, write_key_csv
 from typeflow.sources.tables import (
     AS_OF,
@@ -54,7 +56,7 @@ from typeflow.sources.tables import (
     typing_events,
     typing_events_fast,
 )
-from typeflow.streaming import jobs
+from typeflow.streaming import jobs, open_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +121,19 @@ def _view(name: str) -> Query:
     return query
 
 
+def _kept_sessions(keys: Sequence[str], gap: str, lookback: str) -> Query:
+    """Recent sessions, numbered from a table of session days that was kept in two steps."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kev = key_events(spark, sf_dir)
+        days = SessionDays(new_folder(spark, "session-days"), keys, gap)
+        days.update(kev, AS_OF - timedelta(days=12))
+        days.update(kev, AS_OF)
+        return rounded(days.recent(kev, AS_OF, lookback))
+
+    return query
+
+
 def _intervals(kev: DataFrame, keys) -> DataFrame:
     return inter_key_interval(kev, keys).select("event_id", "App", "interval_us")
 
@@ -131,6 +146,10 @@ def _insights_typing(ev: DataFrame) -> DataFrame:
     return insights(ev, FAST_AS_OF, "12 hours")["typing"]
 
 
+def _insights_sites_five_days(ev: DataFrame) -> DataFrame:
+    return insights(ev, AS_OF, "5 days 6 hours")["top_sites"]
+
+
 def _insights_sites(ev: DataFrame) -> DataFrame:
     return insights(ev, AS_OF, "1 week")["top_sites"]
 
@@ -150,11 +169,11 @@ def _fixed_ids() -> dict:
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_batches(raw_requests(spark, sf_dir), **_fixed_ids()).drop("keystroke_id")
+    return numbered_events(ingest_batches(raw_requests(spark, sf_dir), **_fixed_ids()))
 
 
 def _ingested_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_batches(raw_requests(spark, sf_dir, zoned=True), **_fixed_ids()).drop("keystroke_id")
+    return numbered_events(ingest_batches(raw_requests(spark, sf_dir, zoned=True), **_fixed_ids()))
 
 
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +212,7 @@ def _s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, path, checkpoint = (new_folder(spark, name) for name in ("requests", "ingested", "ingest-state"))
     raw_requests(spark, sf_dir).write.json(source)
     jobs.ingest_stream(spark, source, path, checkpoint, **_fixed_ids()).awaitTermination()
-    return read_events(spark, path).drop("keystroke_id", "tags", "event_date")
+    return read_events(spark, path).drop("tags", "event_date")
 
 
 def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,16 +228,15 @@ def _s02(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "error").alias("is_return"),
     )
     live = jobs.live_counts(ev)
-    jobs.start_append(live, path, checkpoint).awaitTermination()
-    return spark.read.schema(live.schema).parquet(path)
+    jobs.start_counts(live, path, checkpoint).awaitTermination()
+    return jobs.latest_counts(spark, path, live.schema)
 
 
 def _s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = new_folder(spark, "sessions"), new_folder(spark, "sessions-state")
     kev = _stream_of(spark, sf_dir).select(F.col("event_type").alias("App"), F.col("ts").alias("Timestamp"))
-    live = jobs.live_sessions(kev)
-    jobs.start_sessions(live, path, checkpoint).awaitTermination()
-    return spark.read.schema(live.schema).parquet(path)
+    open_sessions.start_session_changes(open_sessions.live_session_changes(kev), path, checkpoint).awaitTermination()
+    return open_sessions.latest_sessions(spark, path)
 
 
 def _s04(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,12 +289,16 @@ def queries() -> dict[str, Query]:
         "q24_view": _view("active_sessions"),
         "q24_active_sessions": on_keys(active_sessions, AS_OF),
         "q24_active_sessions_history": on_keys(active_sessions, AS_OF, lookback="1 year"),
+        "q24_active_sessions_kept": _kept_sessions((), "3 minutes", "24 hours"),
         "q25_active_time_by_app": on_keys(active_time_by_app),
         "q26_recent_sessions_by_app": on_keys(recent_sessions_by_app, AS_OF, as_text=True),
         "q26_recent_sessions_in_full": on_keys(recent_sessions_in_full, AS_OF),
+        "q26_recent_sessions_kept": _kept_sessions(("App",), "10 minutes", "3 hours"),
         "q27_total_active_time": on_keys(total_active_time, AS_OF),
         "q28_session_apps": on_keys(session_apps),
         "q28_session_extent": on_keys(session_extent),
+        "q28_session_apps_recent": on_keys(session_apps, as_of=AS_OF, lookback="24 hours"),
+        "q28_session_extent_recent": on_keys(session_extent, as_of=AS_OF, lookback="24 hours"),
         "q29_status": on_keys(status),
         "q30_event_count": on_keys(event_count),
         "q31_event_count_one_user": on_typing(event_count_by_user, USER),
@@ -296,6 +318,7 @@ def queries() -> dict[str, Query]:
         "q38_key_csv_preview": _csv_preview,
         "q39_add_tags": on_typing(_tagged),
         "q40_insights_top_sites": on_typing(_insights_sites),
+        "q40_insights_any_period": on_typing(_insights_sites_five_days),
         "q40_insights_typing": on_fast_typing(_insights_typing),
         "s01_ingest_stream": _s01,
         "s02_live_counts": _s02,

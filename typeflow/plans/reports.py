@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeflow.functions.time import ntz, resolve, shift, span, weekday_name
+from typeflow.functions.text import clock_label, host
+from typeflow.functions.time import (
+    bin_in_day,
+    fixed_micros,
+    hour_part,
+    micros,
+    minute_of_day,
+    minute_part,
+    ntz,
+    resolve,
+    shift,
+    span,
+    weekday_name,
+)
 from typeflow.operators.common import of_user, starting
 from typeflow.operators.flows import typing_speed
 from typeflow.operators.rhythm import time_of_day_labelled, weekday_number
@@ -61,23 +74,46 @@ def weekly_report(ev: DataFrame, as_of=None, user: str | None = None) -> dict[st
 
 
 def weekly_report_rows(ev: DataFrame, as_of=None, user: str | None = None) -> DataFrame:
-    """The weekly report as one table of (section, series, label, value)."""
-    tables = weekly_report(ev, as_of, user)
-    empty = F.lit(None).cast("string")
+    """The weekly report as one table of (section, series, label, value), from one scan.
 
-    def section(name: str, series: Column, label: str, value: str) -> DataFrame:
-        return tables[name].select(
-            F.lit(name).alias("section"),
+    Every event of both weeks gives a tagged row for each section it counts in, and all sections are counted together;
+    what is left to do (the ten top sites, means over days) starts from these counts.
+    """
+    now = resolve(as_of)
+    this_week, nothing = F.col("horizon") == "Current", F.lit(None).cast("string")
+    hour = bin_in_day(micros("record_time"), fixed_micros("1 hour"))
+
+    def tagged(section: str, when: Column | None = None, series: Column = nothing, label: Column = nothing, us: Column | None = None):
+        row = F.struct(
+            F.lit(section).alias("section"),
             series.alias("series"),
-            F.col(label).alias("label"),
-            F.col(value).cast("double").alias("value"),
+            label.alias("label"),
+            (F.lit(None) if us is None else us).cast("bigint").alias("us"),
         )
-
-    return (
-        section("week_over_week", F.col("horizon"), "day_of_week", "event_count")
-        .unionByName(section("top_sites", empty, "url", "event_count"))
-        .unionByName(section("time_of_day", empty, "time_of_day", "typing_count"))
+        return row if when is None else F.when(when, row)
+
+    site = host("source_url")
+    tags = F.array_compact(
+        F.array(
+            tagged("week_over_week", None, F.col("horizon"), weekday_name(F.col("dow"))),
+            tagged("top_sites", this_week & site.isNotNull(), label=site),
+            tagged("time_of_day", this_week, us=hour),
+        )
+    )
+    counts = (
+        _two_weeks(ev, now, user)
+        .select(F.explode(tags).alias("tag"))
+        .groupBy("tag.section", "tag.series", "tag.label", "tag.us")
+        .agg(F.count("*").alias("n"))
     )
+    minute = minute_of_day(F.col("us"))
+    clock = clock_label(hour_part(minute), minute_part(minute))
+    mean = F.when(F.col("section") == "time_of_day", F.avg("n")).otherwise(F.sum("n").cast("double"))
+    rows = counts.groupBy("section", "series", F.coalesce("label", clock).alias("label")).agg(mean.alias("value"))
+    # Only sites compete for places; any other row is alone with its own.
+    alone = F.when(F.col("section") != "top_sites", F.struct("series", "label"))
+    places = Window.partitionBy("section", alone).orderBy(F.desc("value"), "label")
+    return rows.withColumn("place", F.row_number().over(places)).filter(F.col("place") <= 10).drop("place")
 
 
 def write_weekly_report(ev: DataFrame, folder: str, as_of=None, user: str | None = None, fmt: str = "parquet") -> None:
@@ -86,14 +122,12 @@ def write_weekly_report(ev: DataFrame, folder: str, as_of=None, user: str | None
         table.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
 
-# The periods the dashboard offers.
+# The periods the dashboard offers; others may be given too.
 PERIODS = ("3 months", "1 month", "2 weeks", "1 week", "1 day", "12 hours")
 
 
 def insights(ev: DataFrame, as_of=None, period: str = "1 week", user: str | None = None, **speed) -> dict[str, DataFrame]:
-    """Dashboard tables for a period: top sites, and the typing series from the oldest window on."""
-    if period not in PERIODS:
-        raise ValueError(f"period must be one of {PERIODS}")
+    """Dashboard tables for a period, any interval: top sites, and the typing series from the oldest window on."""
     now = resolve(as_of)
     series = typing_speed(ev, now, period, user=user, newest_first=False, **speed)
     return {

@@ -60,3 +60,27 @@ def _is_local(master: str) -> bool:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark)}/typeflow/{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the cluster sees them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below ``path``."""
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(entry.getPath().getName() for entry in files.listStatus(place) if entry.isDirectory())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,22 +18,101 @@ _TEXT_SCHEMA = T.StructType(
 )
 
 
-def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
+_OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": _CORRUPT}
+
+# What one task makes of a block: whole records, and pieces of those that reach over its ends.
+_PIECES = "file string, block bigint, piece int, value string"
+_WHOLE, _HEAD, _TAIL = 0, 1, 2
+
+
+def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of the blocks in a partition, whose lines come in file order.
+
+    ``inside`` says whether a block begins inside quotes, ``odd`` whether a line has an odd number of them. A line is a
+    record of its own, unless quotes are open before or after it. The header of a file, its first line, is left out.
+    """
+    at, opened, pending, headless = None, False, [], False
+
+    def closing() -> list[tuple]:
+        """The piece left when a block ends with quotes open."""
+        if not pending:
+            return []
+        return [(*at, _HEAD if headless else _TAIL, "\n".join(pending))]
+
+    for batch in batches:
+        out = []
+        changes = (batch["file"] != batch["file"].shift()) | (batch["block"] != batch["block"].shift())
+        for _, lines in batch.groupby(changes.cumsum(), sort=False):
+            here, values = (lines["file"].iloc[0], int(lines["block"].iloc[0])), lines["value"].tolist()
+            odd = lines["odd"].to_numpy()
+            if here != at:
+                out += closing()
+                at, opened, pending = here, bool(lines["inside"].iloc[0]), []
+                headless = opened
+                if here[1] == 0:
+                    values, odd = values[1:], odd[1:]
+            after = np.logical_xor.accumulate(np.concatenate([[opened], odd]))
+            before, after = after[:-1], after[1:]
+            single = ~before & ~after
+            out += [(*here, _WHOLE, values[k]) for k in np.flatnonzero(single)]
+            for k in np.flatnonzero(~single):
+                pending.append(values[k])
+                if not after[k]:
+                    out.append((*here, _HEAD if headless else _WHOLE, "\n".join(pending)))
+                    pending, headless = [], False
+            opened = bool(after[-1]) if len(after) else opened
+        yield pd.DataFrame(out, columns=["file", "block", "piece", "value"])
+    yield pd.DataFrame(closing() if at else [], columns=["file", "block", "piece", "value"])
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The text of every record (``value``), in which quoted line breaks stay, read by as many tasks as there are blocks.
+
+    Whether a block begins inside quotes follows from the quotes of the blocks before it in its file, counted in a
+    first pass: one row for each block. Only records that reach over a block's end are shuffled, as pieces.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
+        (F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).alias("odd"),
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy("file", "block")
+        .agg(F.count_if("odd").alias("odd"))
+        .select("file", "block", (F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)) == 1).alias("inside"))
+    )
+    # The driver plans one split for each block, so a row for each is no more than it holds already. The lines must
+    # stay where they are, in order.
+    found = lines.join(F.broadcast(blocks), ["file", "block"]).mapInPandas(_assembled, _PIECES)
+    whole = found.filter(F.col("piece") == _WHOLE).select("value")
+    in_file = Window.partitionBy("file").orderBy("block", "piece")
+    joined = (
+        found.filter(F.col("piece") != _WHOLE)
+        .withColumn("record", F.sum((F.col("piece") == _TAIL).cast("int")).over(in_file))
+        .groupBy("file", "record")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "piece", "value"))).alias("pieces"))
+        .select(F.array_join("pieces.value", "\n").alias("value"))
+    )
+    return whole.unionByName(joined).select(F.regexp_replace("value", "\r$", "").alias("value")).filter("value <> ''")
+
+
+def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC", split: bool = True) -> DataFrame:
     """All CSV files below ``path``, times in the report zone; rows that do not fit the schema are skipped: a row of
     another length, or one with a cell that can't be read as its column's type. An empty cell is NULL and fits.
 
     Every column is read as text and cast here, whatever a later query selects: a row's fate must not depend on
-    which columns are asked for. Quoted fields may hold doubled quotes, commas and line breaks.
+    which columns are asked for. Quoted fields may hold doubled quotes, commas and line breaks. Files are read block by
+    block, a large one by many tasks; this needs quotes that come in pairs, as CSV has them. With ``split=False`` each
+    file is read by one task, and a lone quote inside an unquoted cell is part of it.
     """
-    text = (
-        spark.read.schema(_TEXT_SCHEMA)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .csv(path)
-    )
+    if split:
+        parsed = F.from_csv("value", ", ".join(f"{name} string" for name in _TEXT_SCHEMA.names), _OPTIONS)
+        text = _records(spark, path).select(parsed.alias("row")).select("row.*")
+    else:
+        reader = spark.read.schema(_TEXT_SCHEMA).options(**_OPTIONS)
+        text = reader.option("header", True).option("multiLine", True).option("columnPruning", False).csv(path)
     cast = {field.name: F.col(field.name).try_cast(field.dataType) for field in KEY_EVENTS.fields}
     moment = F.col("Timestamp").try_cast("timestamp").cast("timestamp_ntz")
     cast["Timestamp"] = F.convert_timezone(F.lit("UTC"), F.lit(zone), moment) if zone != "UTC" else moment

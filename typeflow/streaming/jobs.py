@@ -7,26 +7,22 @@ Windows are aligned to the clock, not to the moment of asking as in the batch fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from typeflow.operators.common import DATE_PARTITION
 from typeflow.schema import RAW_REQUEST
-from typeflow.sources.events import ingest_batches, with_date
-
-ONCE = {"availableNow": True}
+from typeflow.sources.events import ingest_batches, store_batch
+from typeflow.streaming.upserts import ONCE, latest, start_upserts
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def _start(df: DataFrame, path: str, checkpoint: str, trigger: dict, partition: str | None = None) -> StreamingQuery:
+def _start(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     writer = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
-    if partition:
-        writer = writer.partitionBy(partition)
     return writer.trigger(**trigger).start(path)
 
 
@@ -39,10 +35,18 @@ def ingest_stream(
     ingestion_time: Column | None = None,
     batch_id: Column | None = None,
 ) -> StreamingQuery:
-    """Logged requests (JSON lines) appended to the date-partitioned event table, each file once."""
+    """Logged requests (JSON lines) stored in the date-partitioned event table, each file once.
+
+    Events get unique ids that go on from batch to batch; a table belongs to one checkpoint.
+    """
     raw = spark.readStream.schema(RAW_REQUEST).json(source)
-    events = with_date(ingest_batches(raw, ingestion_time, batch_id))
-    return _start(events, path, checkpoint, trigger, DATE_PARTITION)
+    return (
+        ingest_batches(raw, ingestion_time, batch_id)
+        .writeStream.foreachBatch(lambda batch, number: store_batch(batch, number, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
 
 
 def _event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -51,7 +55,11 @@ def _event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 def live_counts(ev: DataFrame, width: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Events and corrections per user and tumbling window, out once the watermark has passed the window."""
+    """Events and corrections per user and tumbling window.
+
+    :func:`start_append` writes a window once the watermark has passed it, :func:`start_counts` at once and whenever it
+    grows.
+    """
     return (
         _event_time(ev, "record_time", delay)
         .groupBy("user_id", F.window("record_time", width).alias("w"))
@@ -67,7 +75,10 @@ def live_counts(ev: DataFrame, width: str = "15 minutes", delay: str = "10 minut
 
 
 def live_sessions(kev: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions per app and date, out once the watermark has passed them; without session numbers."""
+    """Sessions per app and date, out once the watermark has passed them; without session numbers.
+
+    ``streaming.open_sessions`` also gives the sessions that are still open.
+    """
     return (
         _event_time(kev, "Timestamp", delay)
         .groupBy("App", F.to_date("Timestamp").alias("session_date"), F.session_window("Timestamp", gap).alias("w"))
@@ -103,23 +114,25 @@ def start_sessions(df: DataFrame, path: str, checkpoint: str, trigger: dict = ON
         conf.unset(name) if before is None else conf.set(name, before)
 
 
-def start_status(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
-    """Writes each one-row result of a global aggregate to a folder of its own below ``path``; see :func:`latest_status`."""
+#: A live count's key, for :func:`typeflow.streaming.upserts.latest`.
+COUNT_KEYS = ("user_id", "window_start")
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return (
-        df.writeStream.outputMode("complete")
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+def start_counts(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Keeps :func:`live_counts` as they grow, windows that are still open included; see :func:`latest_counts`."""
+    return start_upserts(df, path, checkpoint, COUNT_KEYS, trigger)
+
+
+def latest_counts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest counts of every user and window."""
+    return latest(spark, path, schema, COUNT_KEYS)
+
+
+def start_status(df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
+    """Keeps the one row of a global aggregate; see :func:`latest_status`."""
+    return start_upserts(df, path, checkpoint, (), trigger)
 
 
 def latest_status(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest result in ``path``; results before it stay until they are removed, so there always is one to read."""
-    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
-    newest = Window.orderBy(F.desc("batch"))  # one row for each batch
-    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "batch")
+    """The newest result below ``path``."""
+    return latest(spark, path, schema, ())
