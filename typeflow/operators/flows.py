@@ -190,15 +190,16 @@ def speed_by_time_of_day(
     users = ["user_id"] if by_user else []
     session = [*users, "session_id"]
     site = [*session, "source_url"]
-    in_slice = Window.partitionBy(*session, "slice").orderBy("us", "keystroke_id")
+    whole = Window.partitionBy(*session, "slice")
+    in_slice = whole.orderBy("us", "keystroke_id")
     followed = (
         looking_back(ev, as_of, lookback)
         .select(*site, "keystroke_id", micros("record_time").alias("us"))
         .filter("us is not null")
         .withColumn("slice", floor_to(F.col("us"), gap))
         .withColumn("next_us", F.lead("us").over(in_slice))
-        .withColumn("first_us", F.first("us").over(in_slice))
-        .withColumn("end_us", F.last("us").over(in_slice.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("first_us", F.min("us").over(whole))
+        .withColumn("end_us", F.max("us").over(whole))
     )
     # Events of the last moment that the last event's URL also has share its fate: they come after its break.
     inner = F.col("us") < F.col("end_us")
