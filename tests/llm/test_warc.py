@@ -46,3 +46,15 @@ def test_repeated_pages_null_ids_and_empty_tables(spark):
     only = through(spark, [(None, "u", LONG), (None, "v", LONG)])
     assert [r.record_type for r in only] == ["response", "response"]
     assert all(r.payload_bytes == len(LONG) for r in found + only)
+
+
+def test_a_page_with_two_payloads_and_revisits_of_both(spark):
+    a, b = "a" * 150, "b" * 200
+    found = through(spark, [(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", b)])
+    rows = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found)
+    digests = {n: hashlib.sha256(text.encode()).hexdigest() for n, text in ((150, a), (200, b))}
+    assert rows == [
+        (1, 150, digests[150], "response", None), (1, 200, digests[200], "response", None),
+        (2, 150, digests[150], "revisit", 1), (3, 200, digests[200], "revisit", 1),
+    ]
+    assert len({r.record_id for r in found}) == 4

@@ -77,8 +77,10 @@ def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def _record_id(page_id: Column) -> Column:
-    """A record's id follows from its page, so that a task run again writes the same archive."""
-    h = F.sha2(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("none"))), 256)
+    """A record's id follows from its page and payload, so that a task run again writes the same archive, and payloads
+    that one page has at different times are told apart. A revisit's payload has its response's digest."""
+    page = F.coalesce(page_id.cast("string"), F.lit("none"))
+    h = F.sha2(F.concat(F.lit("page:"), page, F.lit(":"), F.col("payload_digest")), 256)
     parts = [F.substring(h, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
