@@ -9,14 +9,13 @@ import pytest
 
 from typeflow.llm import packing
 
-ODD = ["", " ", "a", " a b", "a  b", "a \n b", "it's we'll 'sx", "x<|endoftext|>y", "\n\na b", "日本 語。", "é ", "a\tb\x85c", "🙂 🙃x"]
+ODD = ["", " ", "a", " a b", "a  b", "a \n b", "it's we'll 'sx", "x<|endoftext|>y", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "\n\na b", "日本 語。", "é ", "a\tb\x85c", "🙂 🙃x"]
 
 
 @pytest.fixture(scope="module")
 def library(vocabulary):
     tokenizers = pytest.importorskip("tokenizers")
     found = tokenizers.Tokenizer.from_file(vocabulary)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids + [packing.END_ID]
 
 

@@ -37,8 +37,8 @@ def _byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of a byte-level vocabulary file, and the end id behind them.
 
-    The ids are those the ``tokenizers`` library gives for the file (the tests compare them), special tokens being
-    ordinary text; tiktoken makes them from the file's ranks in a third of the time.
+    The ids are those the ``tokenizers`` library gives for the file (the tests compare them), a special token's string in
+    a text being that token; tiktoken makes them from the file's ranks in a third of the time.
     """
 
     #: Splits text before the merges, as the file's byte-level pre-tokenizer does.
@@ -49,16 +49,16 @@ class Encoder:
 
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["content"] for x in model["added_tokens"] if x["special"]}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
         of = _byte_alphabet()
         ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self._encoding = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encoding = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._end = np.array([end_id], dtype=np.uint32)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return self._end
-        return np.concatenate([self._encoding.encode_to_numpy(text, disallowed_special=()), self._end])
+        return np.concatenate([self._encoding.encode_to_numpy(text, allowed_special="all"), self._end])
 
 
 @functools.lru_cache(4)
