@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from typeflow.llm import jaccard
+from typeflow.llm import common, jaccard
 
 
 def shingle_set(text, words):
@@ -105,3 +105,34 @@ def test_nulls_repeated_doc_ids_and_representatives(documents):
     kept = jaccard.representatives(docs, 5, 60)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 3, 3, 9]
     assert jaccard.joined(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["sorted chain", "alternating chain", "star", "random"])
+def test_components_take_few_rounds(spark, monkeypatch, shape):
+    size, rng = 10_000, random.Random(4)
+    if shape == "sorted chain":
+        edges = [(k, k + 1) for k in range(size)]
+    elif shape == "alternating chain":
+        order = [k // 2 if k % 2 else size - k // 2 for k in range(size)]
+        edges = list(zip(order, order[1:]))
+    elif shape == "star":
+        edges = [(size // 2, k) for k in range(size)]
+    else:
+        edges = [(rng.randrange(size), rng.randrange(size)) for _ in range(size // 2)]
+    written = []
+    real = common.saved
+    monkeypatch.setattr(common, "saved", lambda df, name: written.append(name) or real(df, name))
+    found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    lowest = {node: node for edge in edges for node in edge}
+
+    def root(node):
+        while lowest[node] != node:
+            lowest[node] = lowest[lowest[node]]
+            node = lowest[node]
+        return node
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        lowest[high] = low
+    assert found == {node: root(node) for node in lowest}
+    assert written.count("edges") - 1 <= 20

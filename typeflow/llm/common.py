@@ -63,22 +63,26 @@ def parallelism(spark: SparkSession) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """The connected component of every node that has an edge: ``node``, ``component`` (its smallest node).
 
-    ``edges`` has two columns ``a`` and ``b`` of one ordered type; loops are allowed. Every round hooks each root to
-    its smallest neighbouring root and contracts the edges, so that they shrink at least by half and a star vanishes
-    in one round. Rounds are written to the shared folder.
+    ``edges`` has two columns ``a`` and ``b`` of one ordered type; loops are allowed. Every round hooks each root to its
+    least neighbouring root, if that is less than itself, and contracts the edges. Rounds take turns in what is less:
+    by the nodes themselves a star of any size vanishes in two rounds, but a sorted chain only halves; by a hash that
+    each round draws anew a chain of any order shrinks to less than half, as no order of nodes can make long ways down.
+    So rounds grow with the logarithm of the nodes. They are written to the shared folder.
     """
     labels = saved(
         edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")),
         "components",
     )
-    left = saved(
-        edges.filter("a != b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
+    ways = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left, number = saved(edges.filter("a != b").select(*ways).distinct(), "edges"), 0
     while not left.isEmpty():
-        parents = saved(left.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("parent")), "parents")
+
+        def rank(node: str):
+            return F.struct(F.xxhash64(node, F.lit(number)), node) if number % 2 else F.struct(node)
+
+        down = F.when(rank("a") < rank("b"), F.struct(F.col("b").alias("root"), F.col("a").alias("to")))
+        hooks = left.select(down.otherwise(F.struct(F.col("a").alias("root"), F.col("b").alias("to"))).alias("way"))
+        parents = saved(hooks.select("way.*").groupBy("root").agg(F.min_by("to", rank("to")).alias("parent")), "parents")
         # One jump shortens chains of parents before they are used.
         upper = parents.select(F.col("root").alias("parent"), F.col("parent").alias("grandparent"))
         parents = saved(
@@ -91,6 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
             return df.join(up, column, "left").withColumn(column, F.coalesce("_up", column)).drop("_up")
 
         labels = saved(lifted(labels, "component").select("node", "component"), "components")
-        moved = lifted(lifted(left, "a"), "b").filter("a != b")
-        left = saved(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels
+        left = saved(lifted(lifted(left, "a"), "b").filter("a != b").select(*ways).distinct(), "edges")
+        number += 1
+    smallest = labels.groupBy("component").agg(F.min("node").alias("smallest"))
+    return labels.join(smallest, "component").select("node", F.col("smallest").alias("component"))
