@@ -132,3 +132,60 @@ def test_repetition_inside_documents_against_brute_force(spark):
     found = {r.doc_id: {i for x in r.runs for i in range(x.start, x.end)} for r in line_dedup.within(made).collect() if r.runs}
     assert sum(map(bool, expected.values())) > 100
     assert found == {doc: cut for doc, cut in expected.items() if cut}
+
+
+def maximal_runs(a, b):
+    """(start in a, end in a) of the longest common runs of lines along every offset."""
+    for offset in range(1 - len(a), len(b)):
+        start = None
+        for i in range(max(0, -offset), min(len(a), len(b) - offset) + 1):
+            same = i < min(len(a), len(b) - offset) and a[i] == b[i + offset]
+            if same and start is None:
+                start = i
+            elif not same and start is not None:
+                yield start, i
+                start = None
+
+
+def test_runs_between_documents_against_brute_force(documents):
+    """Passages are cut anew for every document, so the parts of a run were first seen in different documents."""
+    rng = random.Random(10)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 4, 9, 19, 35]))) for _ in range(150)]
+    size = {x: len(x.split()) for x in base}
+    texts = []
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(base))
+            parts += base[at : at + rng.randint(1, 9)] + [f"own{rng.randrange(10**9)} line"] * rng.randint(0, 1)
+        texts.append(parts)
+        size |= {x: len(x.split()) for x in parts}
+    found = {r.doc_id: r.runs for r in line_dedup.repeated(documents(["\n".join(x) for x in texts])).collect()}
+    longest, checked = max(size.values()), 0
+    for d, mine in enumerate(texts):
+        gone = {i for run in found.get(d, []) for i in range(run.start, run.end)}
+        allowed = {i for p in range(1, len(mine)) for i in range(p, len(mine)) if mine[i] in mine[:i]}
+        words = lambda lines: sum(size[x] for x in lines)
+        for e in range(d):
+            for start, end in maximal_runs(mine, texts[e]):
+                if words(mine[start:end]) >= line_dedup.RUN:
+                    allowed |= set(range(start, end))
+                if words(mine[start:end]) > line_dedup.RUN + line_dedup.WINDOW:
+                    checked += 1
+                    cut = sorted(gone & set(range(start, end)))
+                    assert cut, (d, e, start, end)
+                    assert words(mine[start : cut[0]]) < line_dedup.WINDOW + longest
+                    assert words(mine[cut[-1] + 1 : end]) < line_dedup.WINDOW + longest
+                    assert words([mine[i] for i in range(cut[0], cut[-1]) if i not in gone]) < line_dedup.WINDOW + longest
+        assert gone <= allowed
+    assert checked > 300
+
+
+def test_a_long_document_and_one_long_line(documents):
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) for _ in range(6000)]
+    one = " ".join(f"v{rng.randrange(10**6)}" for _ in range(20_000))
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["head of the second"] + lines[100:5900])), (3, one), (4, "head\n" + one), (5, "\n".join(lines[50:60]))]
+    found = kept(documents, rows)
+    assert found[1].removed_lines == found[3].removed_lines == 0
+    assert found[2].removed_lines == 5800 and found[4].kept == "head\n" and found[5].kept == ""

@@ -1,16 +1,17 @@
 """Removal of passages that an earlier document has already, in DataFrame operations alone.
 
 A text is cut into lines: at line breaks, after sentences and before words with a capital letter, so that a passage put
-anywhere into a text keeps its lines. Two lines in a row are hashed as one gram; winnowing selects, of every ``WINDOW``
-grams in a row, the smaller one, and a line of ``LONG`` words or more is a gram by itself that is always selected.
-Where two lines have less than ``LEAST`` words, grams of ``MANY`` lines take their place. So a run of more than 50
-words, in whole lines, that two documents share has a selected gram in both: it has a long line, or three lines and
-with them a window of two grams, or many short lines.
-
-Selected grams are joined to the first document that has them, which gives pairs of a later and an earlier document
-with their common grams. All places of these grams in the later document, against their first place in the earlier
-one, give offsets, and the line hashes of the two documents are compared along each, which extends matches both ways;
-runs of at least ``RUN`` words are deleted from the later document.
+anywhere into a text keeps its lines. From each line on, the fewest lines that have ``RUN`` words are hashed as one gram.
+Winnowing selects the smallest of the grams that begin in every window of ``WINDOW`` words. A run of more than
+``RUN + WINDOW`` words, in whole lines, that two documents share holds all grams of the window at its first line, so
+both documents select the same one in it, and so on to its last such window.
+
+The positions of selected grams are joined to the first position, in the first document, that has each. The difference
+of the two positions is an offset between a later and an earlier document; along each offset their line hashes are
+compared, which extends matches both ways, and runs of at least ``RUN`` words are deleted from the later document. Of
+the earlier document only the lines that the later one can meet at that offset are moved. Where the parts of a run were
+first seen in different documents, each part is compared with its own; at an end, fewer words than a window and a line
+have can stay.
 
 Inside a document, a run of at least ``RUN`` words that stands earlier in it is found exactly, at any distance: such a run
 is made up of the shortest stretches of ``RUN`` words that begin, or end, at each of its lines, and a stretch whose hash
@@ -26,11 +27,8 @@ from typeflow.llm.common import saved
 
 #: Between two lines; nothing is taken away, so the lines make up the text again.
 CUT = r"(?<=\n)(?=\S)|(?<=[.!?]\s)(?=\S)|(?<= )(?=\p{Lu}\p{Ll})"
-WINDOW = 2
-LONG = 20
-#: Two lines of fewer words are found in texts that have nothing else in common.
-LEAST, MANY = 8, 8
-RUN = 30
+#: Words of the shortest run that is deleted, and of a window.
+RUN, WINDOW = 30, 20
 
 
 def lines(text: Column) -> Column:
@@ -57,33 +55,33 @@ def _once(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _grams(h: Column) -> Column:
-    """The grams of all places: of every two lines, then of every line by itself, then of many lines."""
-    alone = F.transform(h, lambda a: F.xxhash64(a, F.lit(1)))
-    many = F.transform(h, lambda a, i: F.xxhash64(F.slice(h, i + 1, MANY)))
-    return F.concat(_next_to(h, lambda a, b: F.xxhash64(a, b)), alone, many)
+def _lines_for(w: Column, i: Column, words: int) -> Column:
+    """How many lines from line ``i`` on are the fewest with ``words`` words; null where there are none. A line has a word
+    at least, so ``words`` lines are enough to look at, and few are looked at."""
+    total, found = F.get(w, i), None
+    for n in range(1, words + 1):
+        found = F.when(total >= words, n) if found is None else found.when(total >= words, n)
+        total = total + F.get(w, i + n)
+    return found
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """The selected grams of each row, each once. They are chosen inside the row, so no text or line is moved."""
-    no_grams = F.array().cast("array<bigint>")
-    rows = rows.withColumn("two_words", _next_to(F.col("w"), lambda a, b: a + b))
-    two_words = F.col("two_words")
-    two = F.zip_with(
-        _next_to(F.col("h"), lambda a, b: F.xxhash64(a, b)), two_words, lambda g, n: F.when(n >= LEAST, g)
-    )
-    long = F.zip_with("h", "w", lambda h, n: F.when(n >= LONG, F.xxhash64(h, F.lit(1))))
-    short = F.filter(two_words, lambda n, i: (n < LEAST) & (i <= F.size("h") - MANY))
-    some = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("h") - MANY), lambda i: F.get(two_words, i) < LEAST),
-        lambda i: F.xxhash64(F.slice("h", i + 1, MANY)),
-    )
-    many = F.when((F.size("h") >= MANY) & (F.size(short) > 0), some)
-    rows = rows.select("doc_id", "mark", two.alias("two"), long.alias("long"), F.coalesce(many, no_grams).alias("many"))
-    fewer = _next_to(_next_to(F.col("many"), lambda a, b: F.least(a, b)), lambda a, b: F.least(a, b))
-    least = F.when(F.size("two") < WINDOW, F.col("two")).otherwise(_next_to(F.col("two"), lambda a, b: F.least(a, b)))
-    chosen = F.array_distinct(F.array_compact(F.concat(least, "long", fewer)))
-    return rows.select("doc_id", "mark", F.explode(chosen).alias("gram"))
+    """The selected grams of each row, with the line each begins at (``at``) and the row's lines (``n_lines``). They are
+    chosen inside the row, so no text or line is moved."""
+    w, grams = F.col("w"), F.col("grams")
+
+    def gram(h, i):
+        n = _lines_for(w, i, RUN)
+        return F.when(n.isNotNull(), F.xxhash64(F.slice("h", i + 1, n)))
+
+    def chosen(_, i):
+        window = F.slice(grams, i + 1, F.coalesce(_lines_for(w, i, WINDOW), F.size(w) - i))
+        return _once(window, lambda x: i + F.array_position(x, F.array_min(x)).cast("int") - 1)
+
+    rows = rows.select("doc_id", "mark", "w", F.transform("h", gram).alias("grams"))
+    places = F.array_distinct(F.array_compact(F.transform(w, chosen)))
+    rows = rows.select("doc_id", "mark", F.size(w).alias("n_lines"), "grams", F.explode(places).alias("at"))
+    return rows.select("doc_id", "mark", "n_lines", "at", F.get("grams", F.col("at")).alias("gram"))
 
 
 def _place() -> Column:
@@ -93,35 +91,26 @@ def _place() -> Column:
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """A later document, an earlier one that was the first to have some of its grams, and these ``grams``."""
+    """A later document (and its ``n_lines``), an earlier one that was the first to have some of its grams, and the
+    ``offsets`` between these grams' positions: a line of the earlier one is that many behind the later one's."""
     marks = saved(fingerprints(rows), "grams")
-    firsts = marks.groupBy("gram").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+    place = F.struct(_place().alias("place"), "at")
+    firsts = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     firsts = firsts.filter("n > 1").select("gram", "first")
-    found = marks.join(firsts, "gram").filter(_place() > F.col("first"))
+    found = marks.join(firsts, "gram").filter(_place() > F.col("first.place"))
     return found.groupBy(
-        "doc_id", "mark", F.col("first.doc_id").alias("from_id"), F.col("first.mark").alias("from_mark")
-    ).agg(F.collect_set("gram").alias("grams"))
+        "doc_id", "mark", "n_lines", F.col("first.place.doc_id").alias("from_id"), F.col("first.place.mark").alias("from_mark")
+    ).agg(F.collect_set(F.col("first.at") - F.col("at")).alias("offsets"))
 
 
 def _runs(same: Column, begin: Column, w: Column) -> Column:
     """The runs of true in ``same``, whose first element is line ``begin``, as (start, end), ends exclusive, that have
     ``RUN`` words or more; ``w`` has the words of each line."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc, x):
-        closes = ~x & (acc["start"] >= 0)
-        done = F.struct(acc["start"].alias("start"), acc["at"].alias("end"))
-        run = F.slice(w, acc["start"] + 1, acc["at"] - acc["start"])
-        enough = F.aggregate(run, F.lit(0), lambda n, x: n + x) >= RUN
-        return F.struct(
-            F.when(~x, F.lit(-1)).when(acc["start"] < 0, acc["at"]).otherwise(acc["start"]).alias("start"),
-            (acc["at"] + 1).alias("at"),
-            F.when(closes & enough, F.array_append(acc["runs"], done)).otherwise(acc["runs"]).alias("runs"),
-        )
-
-    start = F.struct(F.lit(-1).alias("start"), begin.alias("at"), none.alias("runs"))
-    # A false behind the last line closes an open run.
-    return F.aggregate(F.array_append(same, F.lit(False)), start, step, lambda acc: acc["runs"])
+    differs = F.array_compact(F.transform(same, lambda x, i: F.when(~x, i)))
+    ends = F.concat(F.array(F.lit(-1)), differs, F.array(F.size(same)))
+    runs = _next_to(ends, lambda a, b: F.struct((begin + a + 1).alias("start"), (begin + b).alias("end")))
+    words = lambda x: F.aggregate(F.slice(w, x["start"] + 1, x["end"] - x["start"]), F.lit(0), lambda n, v: n + v)
+    return F.filter(runs, lambda x: (x["end"] > x["start"]) & (words(x) >= RUN))
 
 
 def _stretches(h: Column, w: Column, way: int) -> Column:
@@ -189,30 +178,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     theirs = rows.select(F.col("doc_id").alias("from_id"), F.col("mark").alias("from_mark"), F.col("h").alias("from_h"))
     both = pairs.join(
         theirs, pairs["from_id"].eqNullSafe(theirs["from_id"]) & (pairs["from_mark"] == theirs["from_mark"])
-    ).select("doc_id", "mark", "grams", "from_h")
-    mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
-    both = both.join(mine, both["doc_id"].eqNullSafe(mine["own_id"]) & (both["mark"] == mine["own_mark"]))
-
-    def line(at: Column, hashes: str) -> Column:
-        n = F.size(hashes)  # in the order of _grams
-        return F.when(at < n - 1, at).when(at < 2 * n - 1, at - n + 1).otherwise(at - 2 * n + 1)
-
-    def offsets(theirs: Column) -> Column:
-        def offset(gram: Column, at: Column) -> Column:
-            first = _once(F.array_position(theirs, gram).cast("int") - 1, lambda x: line(x, "from_h"))
-            return F.when(F.array_contains("grams", gram), first - line(at, "h"))
-
-        # Every place of a gram in the later document counts: a passage that it has several times is compared each time.
-        return F.array_distinct(F.array_compact(F.transform(_grams(F.col("h")), offset)))
-
-    found = _once(_grams(F.col("from_h")), offsets)
-    # Explode would have its input evaluated twice, to filter it; explode_outer doesn't.
-    along = both.select("doc_id", "mark", "h", "from_h", "w", F.explode_outer(found).alias("offset")).filter("offset is not null")
+    ).select("doc_id", "mark", "n_lines", "from_h", F.explode("offsets").alias("offset"))
     low = F.greatest(F.lit(0), -F.col("offset"))
-    high = F.least(F.size("h"), F.size("from_h") - F.col("offset"))
-    same = F.zip_with(
-        F.slice("h", low + 1, high - low), F.slice("from_h", low + F.col("offset") + 1, high - low), lambda a, b: a == b
-    )
+    high = F.least(F.col("n_lines"), F.size("from_h") - F.col("offset"))
+    met = both.select("doc_id", "mark", low.alias("low"), F.slice("from_h", low + F.col("offset") + 1, high - low).alias("met"))
+    mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
+    along = met.join(mine, met["doc_id"].eqNullSafe(mine["own_id"]) & (met["mark"] == mine["own_mark"]))
+    low = F.col("low")
+    same = F.zip_with(F.slice("h", low + 1, F.size("met")), "met", lambda a, b: a == b)
     across = along.select("doc_id", "mark", _runs(same, low, F.col("w")).alias("runs"))
     return (
         across.unionByName(within(rows))
