@@ -61,8 +61,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences: one row per piece."""
-    return packing.pack(docs, vocabulary())
+    """Packs the texts into sequences: one row per piece, with its ids."""
+    return packing.pack(docs, vocabulary(), ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
