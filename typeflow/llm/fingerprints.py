@@ -9,6 +9,7 @@ the sum of the smaller weights over the sum of the larger ones. A fingerprint is
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from typeflow.llm.common import importable, parallelism
 
 SAMPLES = 128
-#: Words whose draws a worker keeps before it starts anew; it changes speed only.
-CACHE = 1 << 16
+#: Words whose draws a worker keeps before it starts anew, as they stand in texts once and more than once; it changes
+#: speed only.
+CACHE, CACHE_MORE = 1 << 18, 1 << 14
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 8
 UNNAMED = 1 << 62
@@ -45,18 +47,16 @@ class Sampler:
         self.samples = samples
         self._rows: dict[str, int] = {}
         self._hash = np.empty(CACHE, np.uint64)
-        self._r, self._ln_c, self._b, self._once = (np.empty((CACHE, samples), np.float32) for _ in range(4))
+        self._once = np.empty((CACHE, samples), np.float32)
+        self._more_rows: dict[str, int] = {}
+        self._r, self._ln_c, self._b = (np.empty((CACHE_MORE, samples), np.float32) for _ in range(3))
         self._position = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * _STEP)
 
-    def _draw(self, words: list[str]) -> None:
-        """Adds the draws of new words."""
+    def _drawn(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Hashes of words, and their draws."""
         import xxhash
 
-        first = len(self._rows)
-        rows = slice(first, first + len(words))
-        self._rows.update(zip(words, range(first, first + len(words))))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        self._hash[rows] = h
         seed = h[:, None] ^ self._position
 
         def uniforms(i: int) -> list[np.ndarray]:
@@ -66,9 +66,35 @@ class Sampler:
             return [(x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21) for x in low]
 
         (a, b, beta), (c, d, _) = uniforms(1), uniforms(2)
-        r, ln_c = -np.log(a * b), np.log(-np.log(c * d))
-        self._r[rows], self._ln_c[rows], self._b[rows] = r, ln_c, beta
-        self._once[rows] = ln_c + r * beta - r
+        return h, -np.log(a * b), np.log(-np.log(c * d)), beta
+
+    @staticmethod
+    def _places(kept: dict[str, int], most: int, words: list[str]) -> tuple[np.ndarray, list[str], slice]:
+        """Where ``words`` stand, ``most`` at a time; which of them are new, and the rows that these get."""
+        new = [w for w in words if w not in kept]
+        if len(kept) + len(new) > most:
+            kept.clear()
+            new = words
+        rows = slice(len(kept), len(kept) + len(new))
+        kept.update(zip(new, range(rows.start, rows.stop)))
+        return np.fromiter(map(kept.__getitem__, words), np.int64, len(words)), new, rows
+
+    def _rows_of(self, words: list[str]) -> np.ndarray:
+        at, new, rows = self._places(self._rows, CACHE, words)
+        if new:
+            self._hash[rows], r, ln_c, beta = self._drawn(new)
+            self._once[rows] = ln_c + r * beta - r
+        return at
+
+    def _more_of(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """The draws themselves, for words that a text has more than once."""
+        found = []
+        for start in range(0, len(words), CACHE_MORE):
+            at, new, rows = self._places(self._more_rows, CACHE_MORE, words[start : start + CACHE_MORE])
+            if new:
+                _, self._r[rows], self._ln_c[rows], self._b[rows] = self._drawn(new)
+            found.append((self._r[at], self._ln_c[at], self._b[at]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
 
     def __call__(self, text: str) -> np.ndarray:
         """16 bits of every sample; zeros for a text without words."""
@@ -79,23 +105,16 @@ class Sampler:
         words = list(counts)
         for start in range(0, len(words), CACHE // 2):  # a text may have more words than are kept
             part = words[start : start + CACHE // 2]
-            new = [w for w in part if w not in self._rows]
-            if len(self._rows) + len(new) > CACHE:
-                self._rows.clear()
-                new = part
-            if new:
-                self._draw(new)
-            rows = np.fromiter(map(self._rows.__getitem__, part), np.int64, len(part))
+            rows = self._rows_of(part)
             n = np.fromiter(map(counts.__getitem__, part), np.int64, len(part))
             value = self._once[rows]
             more = np.flatnonzero(n > 1)
             t = None
             if len(more):
-                many = rows[more]
-                r, b = self._r[many], self._b[many]
+                r, ln_c, b = self._more_of([part[i] for i in more.tolist()])
                 ln_w = np.log(1 + np.log(n[more])).astype(np.float32)[:, None]
                 t = np.floor(ln_w / r + b)
-                value[more] = self._ln_c[many] - r * (t - b) - r
+                value[more] = ln_c - r * (t - b) - r
             found = value.argmin(axis=0)
             least = value[found, np.arange(self.samples)]
             steps = np.zeros(self.samples, np.int64)
@@ -114,6 +133,12 @@ class Sampler:
         return np.maximum(bits, 1).astype(np.uint16)  # zero is for texts without words
 
 
+@functools.lru_cache(1)
+def sampler(samples: int = SAMPLES) -> Sampler:
+    """Kept by a worker from task to task."""
+    return Sampler(samples)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -176,7 +201,7 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample, last = Sampler(samples), None
+        sample, last = sampler(samples), None
         for batch in batches:
             out: list[tuple] = []
             for i in range(len(batch)):
