@@ -29,7 +29,7 @@ ALPHA = 1.0
 SEED = 7
 SPACE = "▁"
 #: Characters that a worker segments at a time.
-CHARACTERS = 2_000_000
+CHARACTERS = 4_000_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -200,8 +200,11 @@ class Segmenter:
             for x in np.split(units, np.cumsum(sizes)[:-1])
         ]
 
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.surface.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.vocabulary.surface.__getitem__, ids.tolist())).decode()
+        return self.decoded_bytes(ids).decode()
 
 
 def split_words(text: str) -> list[str]:
@@ -249,7 +252,7 @@ def segmented(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int = SEE
                     pa.array(docs[begin:end], pa.int64()),
                     pa.array([len(x) for x in found], pa.int64()),
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
-                    pa.array([segment.decode(x) == text for x, text in zip(found, some)]),
+                    pa.array([segment.decoded_bytes(x) == text.encode() for x, text in zip(found, some)]),
                 ]
                 if ids:
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
