@@ -42,11 +42,24 @@ def test_values_of_many_owners_are_examples(documents):
 
 
 def test_ownership_counts(spark):
-    rows = [("h", "v", repo, owner) for repo, owner in (("r1", "a"), ("r1", "a"), ("r2", "a"), ("r3", None), ("r3", "b"))]
-    found = secrets.ownership(spark.createDataFrame(rows, "hash string, value string, repository string, owner string")).first()
+    rows = [("h", False, repo, owner) for repo, owner in (("r1", "a"), ("r1", "a"), ("r2", "a"), ("r3", None), ("r3", "b"))]
+    found = secrets.ownership(spark.createDataFrame(rows, "hash string, placeholder boolean, repository string, owner string")).first()
     assert (found.n_rows, found.n_repositories, found.n_owners, found.verdict) == (5, 3, 3, "example")
 
 
+def test_values_in_many_repositories_of_one_owner_are_examples(documents):
+    rows = [(i, f"boilerplate {TOKEN} and secret: headerValue77", "hot") for i in range(30)]
+    rows += [(50 + i, f"mine {TOKEN[::-1]}", "hot") for i in range(20)]
+    found = {r.doc_id: {(s.kind, s.verdict) for s in r.secrets} for r in secrets.judged(documents(rows)).collect()}
+    assert all(found[i] == {("assign", "example")} for i in range(30))
+    assert all(found[50 + i] == {("opaque", "live")} for i in range(20))
+
+
+def test_no_value_is_stored(documents):
+    found = secrets.scanned(documents([f"password = hunter2222 {TOKEN}"]))
+    assert "hunter2222" not in str(found.select("_base", "_more").first()) and TOKEN not in str(found.select("_more").first())
+
+
 def test_redaction_masks_live_values_only(documents):
     live = "9f86d081884c7d659a2feaa0c55ad015"
     rows = [(1, f'a token = "{live}" b {TOKEN} c', "a"), (2, "clean", "a"), (3, None, "a"), (3, None, "a")]

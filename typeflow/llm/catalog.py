@@ -77,6 +77,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count("hex"),
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("secrets")).alias("spans"),
+        F.array_join("secrets.verdict", ",").alias("verdicts"),
     )
 
 

@@ -2,8 +2,9 @@
 
 Fixed patterns find assignments, access keys and hex strings; long opaque tokens that none of them covers are further
 candidates. Every candidate value is hashed, and its hash is counted over the whole corpus by distinct repositories and
-owners. A value that many owners have, or that looks like a placeholder, is an example that people copy; a value that
-stays with one or two owners is a credential that looks live. Opaque tokens are reported only if they look live.
+owners. A value that many owners or many repositories have, or that looks like a placeholder, is an example that people
+copy; a value that stays with one or two owners, in few repositories, is a credential that looks live. Opaque tokens are
+reported only if they look live. Only hashes leave the task that read a text; values aren't stored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,19 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 ASSIGN_LEAST = 6
-#: A value of more owners than this is an example.
-MAX_OWNERS = 2
+#: A value of more owners, or in more repositories, than this is an example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 #: What an opaque token needs besides its length.
 LEAST_DIGITS, LEAST_LETTERS, LEAST_DIFFERENT = 4, 4, 10
 MASK = "[SECRET]"
 
 
+def looks_like_placeholder(value: Column) -> Column:
+    """Values that say what they are: words for examples, or a short run repeated."""
+    words = value.rlike("(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|<|1234567|abcdefg")
+    return words | value.rlike(r"^(.{1,4})\1+.{0,3}$")
+
+
 def _matches(text: Column, pattern: str, kind: str, value_group: int, keep) -> Column:
     """The matches of one kind: start, order of its kind, end, kind, where its value starts, the value's hash.
 
@@ -58,7 +65,14 @@ def _matches(text: Column, pattern: str, kind: str, value_group: int, keep) -> C
         return F.struct(end.alias("at"), F.array_append(acc["found"], found).alias("found"))
 
     walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), F.filter(walked, keep)).otherwise(none)
+    names = ("start", "kind_at", "end", "kind", "value_at", "hash")
+    hashed = F.transform(
+        F.filter(walked, keep),
+        lambda x: F.struct(*[x[n].alias(n) for n in names], looks_like_placeholder(x["value"]).alias("placeholder")),
+    )
+    return F.when(text.rlike(pattern), hashed).otherwise(
+        F.array().cast("array<struct<start:int,kind_at:int,end:int,kind:string,value_at:int,hash:string,placeholder:boolean>>")
+    )
 
 
 def _opaque(x: Column) -> Column:
@@ -83,29 +97,27 @@ def scanned(docs: DataFrame) -> DataFrame:
     return found.withColumn("_more", apart).drop("_tokens")
 
 
-def looks_like_placeholder(value: Column) -> Column:
-    """Values that say what they are: words for examples, or a short run repeated."""
-    words = value.rlike("(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|<|1234567|abcdefg")
-    return words | value.rlike(r"^(.{1,4})\1+.{0,3}$")
-
-
-def ownership(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def ownership(
+    candidates: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+) -> DataFrame:
     """By value hash: ``n_rows``, ``n_repositories``, ``n_owners`` and the ``verdict``, ``live`` or ``example``.
 
-    ``candidates`` has hash, value, repository and owner. Counting goes by (hash, repository, owner) first, so that a
-    value that a third of all rows have reaches the second count as few rows; null repositories or owners count as one.
+    ``candidates`` has hash, placeholder (whether the value looks like one), repository and owner. Counting goes by
+    (hash, repository, owner) first, so that a value that a third of all rows have reaches the second count as few rows;
+    null repositories or owners count as one.
     """
-    pairs = candidates.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    looks = F.max("placeholder").alias("placeholder")
+    pairs = candidates.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"), looks)
     counted = (
         pairs.groupBy("hash", "owner")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("pairs"), F.min("value").alias("value"))
+        .agg(F.sum("n").alias("n"), looks)
         .groupBy("hash")
-        .agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_owners"), F.min("value").alias("value"))
+        .agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_owners"), looks)
     )
     spread = pairs.groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(
         F.count("*").alias("n_repositories")
     )
-    example = (F.col("n_owners") > max_owners) | looks_like_placeholder(F.col("value"))
+    example = (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories) | F.col("placeholder")
     return counted.join(spread, "hash").select(
         "hash", "n_rows", "n_repositories", "n_owners", F.when(example, "example").otherwise("live").alias("verdict")
     )
@@ -116,6 +128,7 @@ def judged(
     owner: str = "source",
     repository: str = "doc_id",
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
     keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with ``secrets``: an array of start, kind_at, end, kind, value_at, verdict, in order of start and kind.
@@ -134,7 +147,7 @@ def judged(
         F.col(repository).alias("repository"),
         F.explode(F.concat("_base", "_more")).alias("x"),
     )
-    verdicts = ownership(candidates.select("owner", "repository", "x.hash", "x.value"), max_owners)
+    verdicts = ownership(candidates.select("owner", "repository", "x.hash", "x.placeholder"), max_owners, max_repositories)
     spans = (
         candidates.select("_row", "x.*")
         .join(verdicts.select("hash", "verdict"), "hash")
