@@ -26,8 +26,6 @@ from typeflow.llm.common import importable, saved
 
 #: Labelled rows that are learned from, at most; above it they are thinned by a hash of the doc_id.
 MAX_LABELLED = 50_000
-#: Mined words kept, at most, the most telling first.
-MAX_WORDS = 2_000
 #: A mined word is in toxic texts of at least so many families, and these make up this share of all labelled texts
 #: that have it, so many more texts that aren't toxic being assumed.
 LEAST_FAMILIES, LEAST_SHARE, DOUBT = 4, 0.5, 4
@@ -58,15 +56,12 @@ def learning_labels(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     toxic if one of them says so. The same rows whatever the partitioning."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("bigint")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = most / max(known.count(), 1)
-    if share < 1:
-        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-        known = known.filter(drawn < int(share * (1 << 30)))
-    return known.limit(most)
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def mined_words(docs: DataFrame, known: DataFrame) -> list[str]:
-    """Words that labelled texts have mostly where they are toxic, the most telling first.
+    """All words that labelled texts have mostly where they are toxic, the most telling first: no more than the bounded
+    sample of labelled texts has.
 
     Copies of one toxic text would make any of its words telling. So toxic texts are counted by family: texts with
     the same smallest word hash, which near copies mostly share.
@@ -95,13 +90,13 @@ def mined_words(docs: DataFrame, known: DataFrame) -> list[str]:
     by_word = by_word.groupBy("word").agg(F.countDistinct("family").alias("families"), F.sum("n_other").alias("n_other"))
     share = (F.col("families") + 0.5) / (F.col("families") + F.col("n_other") + DOUBT + 0.5)
     best = by_word.filter(f"families >= {LEAST_FAMILIES}").withColumn("share", share).filter(f"share >= {LEAST_SHARE}")
-    return [r[0] for r in best.orderBy(F.desc("share"), "word").limit(MAX_WORDS).select("word").collect()]
+    return [r[0] for r in best.orderBy(F.desc("share"), "word").select("word").collect()]
 
 
 def hits(docs: DataFrame, words: list[str]) -> DataFrame:
     """What the voters see of every whole text: the listed words in it with their counts, and the vote pattern."""
     importable(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most MAX_WORDS and the fixed list
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # words of the labelled sample, and the fixed list
     fixed = set(INSULTS)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +276,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     Scores depend on the text alone. Null and empty texts have no hits and the score of such texts; repeated rows have
     equal scores; a null doc_id is never held out; without usable labels the fixed insults vote alone. Further columns
-    of both tables are left out. Everything collected is bounded: mined words by MAX_WORDS, pattern counts by
+    of both tables are left out. Everything collected is bounded: mined words by the labelled sample, pattern counts by
     3 * 2 ** VOTERS, rows to train on by ``max_labelled`` (twice it, should doc_ids repeat); mining, votes and scores
     cover all rows.
     """
