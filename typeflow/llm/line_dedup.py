@@ -1,17 +1,17 @@
 """Removal of passages that an earlier document has already, in DataFrame operations alone.
 
 A text is cut into lines: at line breaks, after sentences and before words with a capital letter, so that a passage put
-anywhere into a text keeps its lines. From each line on, the fewest lines that have ``RUN`` words are hashed as one gram.
-Winnowing selects the smallest of the grams that begin in every window of ``WINDOW`` words. A run of more than
-``RUN + WINDOW`` words, in whole lines, that two documents share holds all grams of the window at its first line, so
-both documents select the same one in it, and so on to its last such window.
+anywhere into a text keeps its lines. Two lines in a row are hashed as one gram; winnowing selects, of every ``WINDOW``
+grams in a row, the smaller one, and a line of ``LONG`` words or more is a gram by itself that is always selected.
+Where two lines have less than ``LEAST`` words, grams of ``MANY`` lines take their place. So a run of more than 50
+words, in whole lines, that two documents share has a selected gram in both: it has a long line, or three lines and
+with them a window of two grams, or many short lines.
 
 The positions of selected grams are joined to the first position, in the first document, that has each. The difference
 of the two positions is an offset between a later and an earlier document; along each offset their line hashes are
 compared, which extends matches both ways, and runs of at least ``RUN`` words are deleted from the later document. Of
 the earlier document only the lines that the later one can meet at that offset are moved. Where the parts of a run were
-first seen in different documents, each part is compared with its own; at an end, fewer words than a window and a line
-have can stay.
+first seen in different documents, each part is compared with its own, and lines between them can stay.
 
 Inside a document, a run of at least ``RUN`` words that stands earlier in it is found exactly, at any distance: such a run
 is made up of the shortest stretches of ``RUN`` words that begin, or end, at each of its lines, and a stretch whose hash
@@ -27,8 +27,11 @@ from typeflow.llm.common import saved
 
 #: Between two lines; nothing is taken away, so the lines make up the text again.
 CUT = r"(?<=\n)(?=\S)|(?<=[.!?]\s)(?=\S)|(?<= )(?=\p{Lu}\p{Ll})"
-#: Words of the shortest run that is deleted, and of a window.
-RUN, WINDOW = 30, 20
+WINDOW = 2
+LONG = 20
+#: Two lines of fewer words are found in texts that have nothing else in common.
+LEAST, MANY = 8, 8
+RUN = 30
 
 
 def lines(text: Column) -> Column:
@@ -55,33 +58,49 @@ def _once(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _lines_for(w: Column, i: Column, words: int) -> Column:
-    """How many lines from line ``i`` on are the fewest with ``words`` words; null where there are none. A line has a word
-    at least, so ``words`` lines are enough to look at, and few are looked at."""
-    total, found = F.get(w, i), None
-    for n in range(1, words + 1):
-        found = F.when(total >= words, n) if found is None else found.when(total >= words, n)
-        total = total + F.get(w, i + n)
-    return found
+def _least_of(x: Column, i: Column, size: int) -> Column:
+    """The place of the smallest of ``size`` elements from ``i`` on; null if all are null."""
+    best, value = i, F.get(x, i)
+    for k in range(1, size):
+        other = F.get(x, i + k)
+        closer = other.isNotNull() & (value.isNull() | (other < value))
+        best, value = F.when(closer, i + k).otherwise(best), F.least(value, other)
+    return F.when(value.isNotNull(), best)
+
+
+def _selected(x: Column, size: int) -> Column:
+    """The places of the smallest element in every window of ``size``, each once."""
+    windows = F.slice(x, F.lit(1), F.greatest(F.size(x) - (size - 1), F.lit(0)))
+    return F.array_distinct(F.array_compact(F.transform(windows, lambda _, i: _least_of(x, i, size))))
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
     """The selected grams of each row, with the line each begins at (``at``) and the row's lines (``n_lines``). They are
     chosen inside the row, so no text or line is moved."""
-    w, grams = F.col("w"), F.col("grams")
-
-    def gram(h, i):
-        n = _lines_for(w, i, RUN)
-        return F.when(n.isNotNull(), F.xxhash64(F.slice("h", i + 1, n)))
-
-    def chosen(_, i):
-        window = F.slice(grams, i + 1, F.coalesce(_lines_for(w, i, WINDOW), F.size(w) - i))
-        return _once(window, lambda x: i + F.array_position(x, F.array_min(x)).cast("int") - 1)
-
-    rows = rows.select("doc_id", "mark", "w", F.transform("h", gram).alias("grams"))
-    places = F.array_distinct(F.array_compact(F.transform(w, chosen)))
-    rows = rows.select("doc_id", "mark", F.size(w).alias("n_lines"), "grams", F.explode(places).alias("at"))
-    return rows.select("doc_id", "mark", "n_lines", "at", F.get("grams", F.col("at")).alias("gram"))
+    h, w = F.col("h"), F.col("w")
+    two_words = _next_to(w, lambda a, b: a + b)
+    rows = rows.withColumn("two_words", two_words)
+    two = F.zip_with(_next_to(h, lambda a, b: F.xxhash64(a, b)), "two_words", lambda g, n: F.when(n >= LEAST, g))
+    places = F.filter(F.sequence(F.lit(0), F.size(h) - MANY), lambda i: F.get("two_words", i) < LEAST)
+    many_at = F.when(F.size(h) >= MANY, places).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "mark", "h", "w", two.alias("two"), many_at.alias("many_at"))
+    rows = rows.withColumn("many", F.transform("many_at", lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(MANY)])))
+
+    def marked_at(gram: Column, at: Column) -> Column:
+        return F.struct(gram.alias("gram"), at.alias("at"))
+
+    alone = F.transform("two", lambda g, i: F.when(g.isNotNull(), i))
+    least = F.when(F.size("two") < WINDOW, F.array_compact(alone)).otherwise(_selected(F.col("two"), WINDOW))
+    long = F.array_compact(F.transform(w, lambda n, i: F.when(n >= LONG, i)))
+    chosen = F.concat(
+        F.transform(least, lambda i: marked_at(F.get("two", i), i)),
+        F.transform(long, lambda i: marked_at(F.xxhash64(F.get("h", i), F.lit(1)), i)),
+        F.transform(_selected(F.col("many"), 3), lambda j: marked_at(F.get("many", j), F.get("many_at", j))),
+    )
+    rows = rows.select("doc_id", "mark", F.size("w").alias("n_lines"), chosen.alias("grams"))
+    return rows.select("doc_id", "mark", "n_lines", F.explode_outer("grams").alias("chosen")).filter(
+        "chosen is not null"  # explode would have all of the above evaluated once more, to filter it
+    ).select("doc_id", "mark", "n_lines", "chosen.*")
 
 
 def _place() -> Column:
