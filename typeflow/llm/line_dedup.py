@@ -156,10 +156,27 @@ def _stretches(h: Column, w: Column, way: int) -> Column:
     return F.transform(F.transform(w, fewest), stretch)
 
 
+def _repeated_words(h: Column, w: Column) -> Column:
+    """The most words that lines in a row have, each of which the document has elsewhere too."""
+
+    def places(s):
+        twice = _next_to(s, lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.array_compact(twice))))
+
+    def step(acc, at):
+        words = F.get(w, at) + F.when(at == acc["at"] + 1, acc["words"]).otherwise(0)
+        return F.struct(at.alias("at"), words.alias("words"), F.greatest(acc["most"], words).alias("most"))
+
+    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("words"), F.lit(0).alias("most"))
+    return F.aggregate(_once(ordered, places), start, step, lambda acc: acc["most"])
+
+
 def within(rows: DataFrame) -> DataFrame:
     """The runs of lines of each document that repeat earlier lines of it: ``doc_id``, ``mark``, ``runs`` (null without)."""
     fewer = F.size("h") - F.size(F.array_distinct("h"))
     rows = rows.filter((fewer > 0) & (fewer * F.array_max("w") >= RUN))  # others have no words enough in repeated lines
+    rows = rows.filter(_repeated_words(F.col("h"), F.col("w")) >= RUN)
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def later(s):
