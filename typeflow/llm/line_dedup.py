@@ -115,7 +115,8 @@ def matches(rows: DataFrame) -> DataFrame:
     marks = saved(fingerprints(rows), "grams")
     place = F.struct(_place().alias("place"), "at")
     firsts = marks.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select("gram", "first")
+    # A stored table on both sides of the join lets adaptive execution split a gram that many documents have.
+    firsts = saved(firsts.filter("n > 1").select("gram", "first"), "firsts")
     found = marks.join(firsts, "gram").filter(_place() > F.col("first.place"))
     return found.groupBy(
         "doc_id", "mark", "n_lines", F.col("first.place.doc_id").alias("from_id"), F.col("first.place.mark").alias("from_mark")
