@@ -207,6 +207,16 @@ def test_large_csv_files_are_read_by_many_tasks_with_the_same_rows(spark, tmp_pa
             spark.conf.set(name, value)
 
 
+def test_csv_records_are_parsed_once_and_lines_go_to_python_once(spark, tmp_path):
+    path = write_files(tmp_path, '2025-01-26T09:00:00Z,1,0,"A","t\nu","Space"\n' * 9, '2025-01-26T09:00:00Z,1,0,"A","t","Space"\n')
+    kev = read_key_csv(spark, path)
+    parsed = kev._jdf.queryExecution().optimizedPlan().toString()
+    assert parsed.count("from_csv(") == 1
+    assert len(kev.collect()) == 10
+    ran = kev._jdf.queryExecution().executedPlan().executedPlan().toString()
+    assert ran.count("MapInArrow") == 1  # no record reaches over a block's end, so no lines are read for pieces
+
+
 def test_numbered_events_have_unique_ids_without_gaps_in_time_order(spark, events):
     rng = random.Random(2)
     ev = events([{"t": AS_OF - timedelta(seconds=rng.randint(0, 300)), "user": rng.choice("ab")} for _ in range(2000)])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,80 +24,110 @@ _OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": _CORRUPT}
 
 # What one task makes of a block: whole records, and pieces of those that reach over its ends.
 _PIECES = "file string, block bigint, piece int, value string"
-_WHOLE, _HEAD, _TAIL = 0, 1, 2
+_HEAD, _TAIL = 1, 2
 
 
-def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records of the blocks in a partition, whose lines come in file order.
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The lines of each block in a batch."""
+    file, block = batch.column("file"), batch.column("block").to_numpy()
+    changes = (block[1:] != block[:-1]) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+    bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(block)]
+    for start, end in zip(bounds, bounds[1:]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], pieces: bool) -> Iterator[pa.RecordBatch]:
+    """Whole records of the blocks in a partition (``value``), or else the pieces; lines come in file order.
 
     ``inside`` says whether a block begins inside quotes, ``odd`` whether a line has an odd number of them. A line is a
     record of its own, unless quotes are open before or after it. The header of a file, its first line, is left out.
     """
-    at, opened, pending, headless = None, False, [], False
+    at, opened, pending, headless, found = None, False, [], False, []
+
+    def closing() -> None:
+        """Notes the piece left when a block ends with quotes open."""
+        if pending and pieces:
+            found.append((*at, _HEAD if headless else _TAIL, "\n".join(pending)))
 
-    def closing() -> list[tuple]:
-        """The piece left when a block ends with quotes open."""
-        if not pending:
-            return []
-        return [(*at, _HEAD if headless else _TAIL, "\n".join(pending))]
+    def taken() -> pa.RecordBatch:
+        columns = list(zip(*found)) or [()] * 4
+        found.clear()
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=["file", "block", "piece", "value"])
 
     for batch in batches:
-        out = []
-        changes = (batch["file"] != batch["file"].shift()) | (batch["block"] != batch["block"].shift())
-        for _, lines in batch.groupby(changes.cumsum(), sort=False):
-            here, values = (lines["file"].iloc[0], int(lines["block"].iloc[0])), lines["value"].tolist()
-            odd = lines["odd"].to_numpy()
+        for lines in _blocks(batch):
+            here = lines.column("file")[0].as_py(), lines.column("block")[0].as_py()
+            values, odd = lines.column("value"), lines.column("odd").to_numpy(zero_copy_only=False)
             if here != at:
-                out += closing()
-                at, opened, pending = here, bool(lines["inside"].iloc[0]), []
+                closing()
+                at, pending, opened = here, [], lines.column("inside")[0].as_py()
                 headless = opened
                 if here[1] == 0:
                     values, odd = values[1:], odd[1:]
-            after = np.logical_xor.accumulate(np.concatenate([[opened], odd]))
-            before, after = after[:-1], after[1:]
-            single = ~before & ~after
-            out += [(*here, _WHOLE, values[k]) for k in np.flatnonzero(single)]
-            for k in np.flatnonzero(~single):
-                pending.append(values[k])
-                if not after[k]:
-                    out.append((*here, _HEAD if headless else _WHOLE, "\n".join(pending)))
-                    pending, headless = [], False
+            after = np.logical_xor.accumulate(np.concatenate([[opened], odd]))[1:]
             opened = bool(after[-1]) if len(after) else opened
-        yield pd.DataFrame(out, columns=["file", "block", "piece", "value"])
-    yield pd.DataFrame(closing() if at else [], columns=["file", "block", "piece", "value"])
+            ends = np.flatnonzero(~after) + 1  # a record ends with each line that leaves no quotes open
+            if len(ends) and (pending or headless):
+                first = "\n".join([*pending, *values[: ends[0]].to_pylist()])
+                if headless and pieces:
+                    found.append((*here, _HEAD, first))
+                elif not headless and not pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.string())], names=["value"])
+                pending, headless, values, ends = [], False, values[ends[0] :], ends[1:] - ends[0]
+            if len(ends) and not pieces:
+                records = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values[: ends[-1]])
+                yield pa.RecordBatch.from_arrays([pc.binary_join(records, "\n")], names=["value"])
+            pending += values[ends[-1] if len(ends) else 0 :].to_pylist()
+        if pieces:
+            yield taken()
+    closing()
+    if pieces:
+        yield taken()
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """The text of every record (``value``), in which quoted line breaks stay, read by as many tasks as there are blocks.
 
     Whether a block begins inside quotes follows from the quotes of the blocks before it in its file, counted in a
-    first pass: one row for each block. Only records that reach over a block's end are shuffled, as pieces.
+    first pass: one row for each block. Only records that reach over a block's end are shuffled, as pieces; blocks
+    without any aren't read for them, and where no block has one, no pass is made.
     """
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         "value",
-        (F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).alias("odd"),
+        (F.pmod(quotes, F.lit(2)) == 1).alias("odd"),
     )
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         lines.groupBy("file", "block")
         .agg(F.count_if("odd").alias("odd"))
-        .select("file", "block", (F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)) == 1).alias("inside"))
+        .withColumn("before", F.coalesce(F.sum("odd").over(before), F.lit(0)))
+        .select(
+            "file",
+            "block",
+            (F.pmod("before", F.lit(2)) == 1).alias("inside"),
+            (F.pmod(F.col("before") + F.col("odd"), F.lit(2)) == 1).alias("open"),
+        )
     )
     # The driver plans one split for each block, so a row for each is no more than it holds already. The lines must
     # stay where they are, in order.
-    found = lines.join(F.broadcast(blocks), ["file", "block"]).mapInPandas(_assembled, _PIECES)
-    whole = found.filter(F.col("piece") == _WHOLE).select("value")
+    placed = lambda some: lines.join(F.broadcast(some.drop("open")), ["file", "block"])
+    whole = placed(blocks).mapInArrow(partial(_assembled, pieces=False), "value string")
+    found = placed(blocks.filter("inside or open")).mapInArrow(partial(_assembled, pieces=True), _PIECES)
     in_file = Window.partitionBy("file").orderBy("block", "piece")
     joined = (
-        found.filter(F.col("piece") != _WHOLE)
-        .withColumn("record", F.sum((F.col("piece") == _TAIL).cast("int")).over(in_file))
+        found.withColumn("record", F.sum((F.col("piece") == _TAIL).cast("int")).over(in_file))
         .groupBy("file", "record")
         .agg(F.sort_array(F.collect_list(F.struct("block", "piece", "value"))).alias("pieces"))
         .select(F.array_join("pieces.value", "\n").alias("value"))
     )
-    return whole.unionByName(joined).select(F.regexp_replace("value", "\r$", "").alias("value")).filter("value <> ''")
+    plain = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+    return whole.unionByName(joined).select(plain.alias("value")).filter("value <> ''")
 
 
 def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC", split: bool = True) -> DataFrame:
@@ -109,7 +141,8 @@ def read_key_csv(spark: SparkSession, path: str, zone: str = "UTC", split: bool
     """
     if split:
         parsed = F.from_csv("value", ", ".join(f"{name} string" for name in _TEXT_SCHEMA.names), _OPTIONS)
-        text = _records(spark, path).select(parsed.alias("row")).select("row.*")
+        # Not row.*: filters on its fields would move below it and parse a record once for each of them.
+        text = _records(spark, path).select(F.inline_outer(F.array(parsed)))
     else:
         reader = spark.read.schema(_TEXT_SCHEMA).options(**_OPTIONS)
         text = reader.option("header", True).option("multiLine", True).option("columnPruning", False).csv(path)
