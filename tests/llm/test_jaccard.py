@@ -90,6 +90,45 @@ def test_linked_sets_show_a_part_in_common():
             assert np.intersect1d(*shown).size
 
 
+@pytest.mark.parametrize("percent", [85, 60, 30])
+def test_sketches_of_linked_sets_differ_in_no_more_bits_than_the_sets_in_members(percent):
+    rng, rule = np.random.default_rng(2), jaccard.Rule(percent)
+    sets, base = [], None
+    for k in range(120):
+        if k % 3 == 0:
+            base = rng.integers(0, 2**64, int(rng.choice([1, 6, 90, 700, 1023, 1025, 2100, 5000])), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.2], base[:1]])))
+    n, keys = np.array([len(s) for s in sets]), np.arange(len(sets)) + 500
+    sketches = [jaccard.sketch(s) for s in sets]
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= percent * (n[i] + n[j] - both)
+
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        root = {k: k for k in keys.tolist()}
+        for a, b in jaccard._alike(keys, n, side, sketches, rule):
+            root = {k: root[a] if r == root[b] else r for k, r in root.items()}
+        two = len(set(side.tolist())) > 1
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if linked(i, j) and not (two and side[i] == side[j])]
+        assert len(pairs) > 30 and all(root[keys[i]] == root[keys[j]] for i, j in pairs)
+        assert len(set(root.values())) > 10 or percent < 85
+
+
+def test_members_are_moved_for_sets_that_are_alike_only(documents, monkeypatch):
+    """Short texts that meet in one cluster by chance parts, two of them alike."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 40))) for _ in range(300)]
+    texts.append(texts[0] + " more")
+    seen, real = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda docs, chosen, *more: seen.append(chosen.count()) or real(docs, chosen, *more))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = jaccard.joined(documents(rows), 2, 85).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in found) == by_all_pairs(rows, 2, 85)
+    assert seen[0] < 20
+
+
 def test_a_band_with_too_few_parts_is_shown_finer():
     rule, s = jaccard.Rule(85), np.arange(1, 701, dtype=np.uint64)  # all in one part
     shown, short = rule.parts(s, np.zeros(0, np.uint64), frozenset())

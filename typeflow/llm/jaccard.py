@@ -10,6 +10,10 @@ the same members out of both sets removes differences only, so parts are made of
 make up half of a set; sets that have fewer, and all that might be linked to one, show parts of all their members
 apart from that.
 
+Chance parts join many short sets that aren't alike, so a cluster is split before any members are moved: each set has a
+sketch, the parities of its members in a hashed bitmap. A bit that differs stands for a member that isn't in both sets,
+so sets whose sketches differ in more than ``limit`` bits can't be linked, and only what other sketches join stays a cluster.
+
 Inside a cluster, sets are compared in size-banded tiles: a hashed bitmap for each set, whose differing bits bound the
 overlap from above, and the exact intersection of sorted arrays for what is left. Sets that are known to be linked
 through others aren't compared again.
@@ -18,6 +22,7 @@ through others aren't compared again.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,6 +37,8 @@ PERCENT = 80
 #: Members and sets that a tile holds, about; two tiles are compared in one task.
 TILE_MEMBERS, TILE_SETS = 1_500_000, 8192
 BITMAP_WORDS = 16
+#: Words of 64 bits that a sketch has at least; one of a larger set has a bit for each member, at least.
+SKETCH_WORDS = 16
 #: Words whose hashes a worker keeps before it starts anew; it changes speed only.
 CACHE = 300_000
 #: Size bands are powers of two. In bands below SMALL each member is a part. Above, there are twice as many parts as the
@@ -145,6 +152,19 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([a, b], np.uint64).view(np.int64).tolist())
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Whether the number of members is odd, for each of as many bits as a power of two above the size."""
+    bits = max(64 * SKETCH_WORDS, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch as it would be with fewer words."""
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _key() -> Column:
     unnamed = F.pmod(F.xxhash64("text"), F.lit(1 << 60)) + F.lit(UNNAMED)
     return F.coalesce(F.col("doc_id").cast("bigint"), unnamed).alias("key")
@@ -170,21 +190,22 @@ def common_members(docs: DataFrame, words: int, share: float = COMMON) -> np.nda
 
 
 def sets(docs: DataFrame, words: int, rule: Rule, common: np.ndarray, fine: frozenset[int] = frozenset()) -> DataFrame:
-    """Of each row: key, set size, the set's hash, and the parts it shows, once for equal sets in a task; ``short``:
-    the size bands in which it has too few parts."""
-    schema = "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, parts array<bigint>, short array<int>"
+    """Of each row: key, set size, the set's hash, its sketch, and the parts it shows, once for equal sets in a task;
+    ``short``: the size bands in which it has too few parts."""
+    schema = "doc_id bigint, key bigint, n bigint, h1 bigint, h2 bigint, sketch binary, parts array<bigint>, short array<int>"
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most the mean set size over COMMON
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(words), set()
         for batch in batches:
-            sizes, first, second, parts, ends, lacks = [], [], [], [np.zeros(0, np.uint64)], [0], []
+            sizes, first, second, sketches, parts, ends, lacks = [], [], [], [], [np.zeros(0, np.uint64)], [0], []
             for text in batch.column(2):
                 s = shingles(text.as_py())
                 a, b = set_hashes(s)
                 sizes.append(len(s))
                 first.append(a)
                 second.append(b)
+                sketches.append(sketch(s))
                 shown, short = (s[:0], []) if (a, b) in seen else rule.parts(s, shared.value, fine)
                 seen.add((a, b))
                 parts.append(shown)
@@ -193,8 +214,15 @@ def sets(docs: DataFrame, words: int, rule: Rule, common: np.ndarray, fine: froz
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
             columns = [pa.array(c, pa.int64()) for c in (sizes, first, second)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns, lists, pa.array(lacks, pa.list_(pa.int32()))],
-                names=["doc_id", "key", "n", "h1", "h2", "parts", "short"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    *columns,
+                    pa.array(sketches, pa.binary()),
+                    lists,
+                    pa.array(lacks, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "key", "n", "h1", "h2", "sketch", "parts", "short"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key(), F.col("text").cast("string"))
@@ -297,6 +325,57 @@ def tiles(chosen: DataFrame, percent: int, members: int = TILE_MEMBERS, sets: in
     return dealt.withColumn("side", F.when(same, 0).otherwise(1)).select(*chosen.columns, "tile", "side")
 
 
+#: Tiles of sketches, which take a 32nd of the members' bytes at most.
+sketch_tiles = partial(tiles, members=32 * TILE_MEMBERS)
+
+
+def _alike(keys: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[bytes], rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of sets that may be linked, by their sketches, as few as join what all such pairs join."""
+    order = np.argsort(n, kind="stable")
+    keys, n, side = keys[order], n[order], side[order]
+    rows = [np.frombuffer(sketches[k], np.uint64) for k in order]
+    widths = np.array([len(x) for x in rows])  # these grow with the size
+    ends = np.searchsorted(n, rule.largest(n), side="right")
+    root, pairs = np.arange(len(rows)), []
+    two = len(set(side.tolist())) > 1
+    for width in np.unique(widths).tolist():
+        begin, end = np.searchsorted(widths, width, "left"), np.searchsorted(widths, width, "right")
+        maps = np.stack([_folded(x, width) for x in rows[begin : ends[end - 1]]], axis=1)
+        some = 4 if width <= SKETCH_WORDS else width // 2  # words that tell most sets apart
+        for i in range(begin, end):
+            if ends[i] == i + 1:
+                continue
+            others = maps[:, i + 1 - begin : ends[i] - begin]
+            limit = rule.limit(n[i] + n[i + 1 : ends[i]])
+            apart = np.zeros(len(limit), np.int32)
+            for mine, theirs in zip(maps[:some, i - begin], others):
+                apart += np.bitwise_count(theirs ^ mine)
+            near = np.flatnonzero((apart <= limit) & (root[i + 1 : ends[i]] != root[i]))
+            if two:
+                near = near[side[near + i + 1] != side[i]]
+            apart = np.bitwise_count(others[:, near] ^ maps[:, i - begin, None]).sum(axis=0, dtype=np.int64)
+            for j in near[apart <= limit[near]] + i + 1:
+                if root[j] != root[i]:
+                    pairs.append((int(keys[i]), int(keys[j])))
+                    root[root == root[j]] = root[i]
+    return pairs
+
+
+def refined(chosen: DataFrame, rule: Rule) -> DataFrame:
+    """``chosen`` (key, h1, h2, n, sketch, cluster) without sketches, and in smaller clusters: of what the sketches of
+    sets in one cluster join. Sets that may not be linked with any other are left out."""
+    dealt = sketch_tiles(chosen.select("h1", "n", "sketch", "cluster"), rule.percent)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        keys, n, side = (rows.column(c).to_numpy() for c in ("h1", "n", "side"))
+        pairs = np.array(_alike(keys, n, side, rows.column("sketch").to_pylist(), rule), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    pairs = dealt.groupBy("cluster", "tile").applyInArrow(compare, "a bigint, b bigint")
+    clusters = components(saved(pairs, "alike")).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
+    return chosen.select("key", "h1", "h2", "n").join(clusters, "h1").select("key", "h1", "h2", "n", "cluster")
+
+
 def links(docs: DataFrame, chosen: DataFrame, words: int, rule: Rule) -> DataFrame:
     """Links (a, b) between the sets in ``chosen`` (key, h1, h2, n, cluster), enough to join all that are joined."""
     placed = tiles(chosen, rule.percent).groupBy("key", "h1", "h2", "cluster").agg(
@@ -351,16 +430,19 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         shown = shown.unionByName(saved(finer.select("parts", "h1").filter("size(parts) > 0"), "finer"))
     some = found.filter("n > 0")
     distinct = saved(
-        some.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("copies")),
+        some.groupBy("h1", "h2").agg(
+            F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
+        ),
         "distinct",
     )
     clusters = components(saved(shared_parts(shown), "shared"))
-    chosen = saved(
+    sharing = saved(
         distinct.join(clusters.select(F.col("node").alias("h1"), F.col("component").alias("cluster")), "h1").select(
-            "key", "h1", "h2", "n", "cluster"
+            "key", "h1", "h2", "n", "sketch", "cluster"
         ),
-        "chosen",
+        "sharing",
     )
+    chosen = saved(refined(sharing, rule), "chosen")
     joins = components(saved(links(docs, chosen, words, rule), "links"))
     joins = joins.select(F.col("node").alias("key"), "component")
     # Only sets with copies or links have a component other than themselves.
