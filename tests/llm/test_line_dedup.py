@@ -190,3 +190,29 @@ def test_a_long_document_and_one_long_line(documents):
     found = kept(documents, rows)
     assert found[1].removed_lines == found[3].removed_lines == 0
     assert found[2].removed_lines == 5800 and found[4].kept == "head\n" and found[5].kept == ""
+
+
+def test_stretches_are_made_of_repeated_lines_only(documents):
+    rng = random.Random(11)
+    one, other = [f"{prose(rng, 10).strip()}\n" for _ in range(6)], [f"{prose(rng, 10).strip()}\n" for _ in range(200)]
+    text = "".join(one + other + one)
+    rows = line_dedup.hashed(documents([(1, text)]))
+    line = rows.first()
+    twice = rows.select(line_dedup._twice(F.col("h"))).first()[0]
+    assert twice == [line.h.count(x) > 1 for x in line.h]
+    words = F.zip_with("w", line_dedup._twice(F.col("h")), lambda n, is_twice: F.when(is_twice, n))
+    found = rows.select(line_dedup._stretches(F.col("h"), words, 1).alias("s")).first().s
+    for i, x in enumerate(found):
+        ends = [n for n in range(1, len(found) - i + 1) if sum(line.w[i : i + n]) >= line_dedup.RUN]
+        n = ends[0] if ends and all(twice[i : i + ends[0]]) else None
+        assert (x and (x.at, x.n)) == (n and (i, n))
+    assert 0 < sum(x is not None for x in found) < 40
+
+
+def test_lines_end_without_any_white_space(documents):
+    rng = random.Random(12)
+    texts = [prose(rng, 8) + "".join(rng.choice(" \t\r\f\x0b\n") for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    docs = documents(list(enumerate(texts)))
+    found = docs.select("text", F.transform(line_dedup.lines(F.col("text")), line_dedup._trimmed).alias("l"), line_dedup.lines(F.col("text")).alias("whole"))
+    for r in found.collect():
+        assert list(r.l) == [x.rstrip(" \t\r\n\f\x0b") for x in r.whole]

@@ -38,12 +38,21 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, CUT, -1), lambda x: x != "")
 
 
+def _trimmed(x: Column) -> Column:
+    """A line without white space at its end; most lines end in spaces, which are cut from the end alone."""
+    spaceless = F.rtrim(x)
+    more = F.lit(False)
+    for other in "\n\r\t\f\x0b":
+        more = more | F.endswith(spaceless, F.lit(other))
+    return F.when(more, F.rtrim(x, F.lit(" \t\r\n\f\x0b"))).otherwise(spaceless)
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """Of each row: ``doc_id``, ``mark`` (a hash of the text), the hashes ``h`` of its lines and their words ``w``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), lines(text).alias("l"))
-    rows = rows.select("doc_id", "mark", F.transform("l", lambda x: F.rtrim(x, F.lit(" \t\r\n\f\x0b"))).alias("l"))
-    words = F.transform("l", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("doc_id", "mark", F.transform("l", _trimmed).alias("l"))
+    words = F.transform("l", lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
     return rows.select("doc_id", "mark", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))
 
 
@@ -133,21 +142,30 @@ def _runs(same: Column, begin: Column, w: Column) -> Column:
     return F.filter(runs, lambda x: (x["end"] > x["start"]) & (words(x) >= RUN))
 
 
+def _twice(h: Column) -> Column:
+    """Of each line whether the document has it elsewhere too."""
+
+    def marked(s):
+        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        found = F.transform(s, lambda x, k: F.struct(x["at"].alias("at"), (same(x, k - 1) | same(x, k + 1)).alias("twice")))
+        return F.transform(F.sort_array(found), lambda x: x["twice"])
+
+    return _once(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at")))), marked)
+
+
 def _stretches(h: Column, w: Column, way: int) -> Column:
     """(hash, at, n): for each line the ``n`` lines from it on (``way`` 1) or up to it (-1) that are the fewest with ``RUN``
-    words, ``at`` being the first; null where there are fewer words. A line has a word at least, so ``RUN`` lines are
-    enough to look at."""
-    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    words, ``at`` being the first; null where there are fewer words before the document ends or a line has none
+    (null in ``w``). A line has a word at least, so ``RUN`` lines are enough to look at."""
+    unit = 2 * RUN  # words are counted in units, lines in ones
 
-    def fewest(_, i):
+    def fewest(words, i):
         def longer(acc, k):
-            at = i + k * way
-            return F.when((acc["words"] >= RUN) | (at < 0) | (at >= F.size(w)), acc).otherwise(
-                F.struct((acc["words"] + F.get(w, at)).alias("words"), (acc["n"] + 1).alias("n"))
-            )
+            return F.when(acc >= RUN * unit, acc).otherwise(acc + F.get(w, i + k * way).cast("bigint") * unit + 1)
 
         steps = F.sequence(F.lit(0), F.lit(RUN - 1))
-        return F.aggregate(steps, zero, longer, lambda acc: F.when(acc["words"] >= RUN, acc["n"]))
+        found = F.aggregate(steps, F.lit(0).cast("bigint"), longer, lambda acc: F.when(acc >= RUN * unit, (acc % unit).cast("int")))
+        return F.when(words.isNotNull(), found)
 
     def stretch(n, i):
         at = i if way > 0 else i - n + 1
@@ -203,7 +221,9 @@ def within(rows: DataFrame) -> DataFrame:
         )
         return F.when(F.size(found) > 0, runs)
 
-    stretches = F.concat(_stretches(F.col("h"), F.col("w"), 1), _stretches(F.col("h"), F.col("w"), -1))
+    # Every line of a stretch that stands twice is there twice; lines that aren't have no words here.
+    words = F.zip_with("w", _twice(F.col("h")), lambda n, twice: F.when(twice, n))
+    stretches = _once(words, lambda w: F.concat(_stretches(F.col("h"), w, 1), _stretches(F.col("h"), w, -1)))
     runs = _once(F.sort_array(F.array_compact(stretches)), lambda s: _once(later(s), united))
     return rows.select("doc_id", "mark", runs.alias("runs"))
 
