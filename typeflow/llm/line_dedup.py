@@ -155,24 +155,22 @@ def _twice(h: Column) -> Column:
 
 def _stretches(h: Column, w: Column, way: int) -> Column:
     """(hash, at, n): for each line the ``n`` lines from it on (``way`` 1) or up to it (-1) that are the fewest with ``RUN``
-    words, ``at`` being the first; null where there are fewer words before the document ends or a line has none
-    (null in ``w``). A line has a word at least, so ``RUN`` lines are enough to look at."""
-    unit = 2 * RUN  # words are counted in units, lines in ones
-
-    def fewest(words, i):
-        def longer(acc, k):
-            return F.when(acc >= RUN * unit, acc).otherwise(acc + F.get(w, i + k * way).cast("bigint") * unit + 1)
-
-        steps = F.sequence(F.lit(0), F.lit(RUN - 1))
-        found = F.aggregate(steps, F.lit(0).cast("bigint"), longer, lambda acc: F.when(acc >= RUN * unit, (acc % unit).cast("int")))
-        return F.when(words.isNotNull(), found)
-
-    def stretch(n, i):
-        at = i if way > 0 else i - n + 1
-        hashed = F.xxhash64(F.slice(h, at + 1, n), F.lit(way)).alias("hash")
-        return F.when(n.isNotNull(), F.struct(hashed, at.alias("at"), n.alias("n")))
-
-    return F.transform(F.transform(w, fewest), stretch)
+    words, ``at`` being the first; none where there are fewer words before the document ends or a line has none (null
+    in ``w``). They are read off the line numbers of all words, of ``RUN`` words of a line at most."""
+    words = F.flatten(F.transform(w, lambda n, i: F.array_repeat(F.when(n.isNotNull(), i), F.least(n, F.lit(RUN)))))
+
+    def ends(x):
+        first = lambda line, k: line.isNotNull() & ~line.eqNullSafe(F.get(x, k - way))
+        other = lambda k: F.get(x, k + way * (RUN - 1)).alias("other")
+        both = F.transform(x, lambda line, k: F.when(first(line, k), F.struct(line.alias("line"), other(k))))
+        return F.filter(both, lambda s: s["other"].isNotNull())
+
+    def stretch(s):
+        at = s["line"] if way > 0 else s["other"]
+        n = (s["other"] - s["line"]) * way + 1
+        return F.struct(F.xxhash64(F.slice(h, at + 1, n), F.lit(way)).alias("hash"), at.alias("at"), n.alias("n"))
+
+    return F.transform(_once(words, ends), stretch)
 
 
 def _repeated_words(h: Column, w: Column) -> Column:
