@@ -218,3 +218,56 @@ def test_lines_end_without_any_white_space(documents):
     found = docs.select("text", F.transform(line_dedup.lines(F.col("text")), line_dedup._trimmed).alias("l"), line_dedup.lines(F.col("text")).alias("whole"))
     for r in found.collect():
         assert list(r.l) == [x.rstrip(" \t\r\n\f\x0b") for x in r.whole]
+
+
+def test_lines_are_cut_where_they_were(documents):
+    before = r"(?<=\n)(?=\S)|(?<=[.!?]\s)(?=\S)|(?<= )(?=\p{Lu}\p{Ll})"
+    rng = random.Random(13)
+    signs = ["Ab", "b", "Üb", "É", ".", "!", "?", " ", "\n", "\t", "\r", "\x0b", "\xa0", "中"]
+    docs = documents(["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(500)])
+    found = docs.select(F.split("text", before, -1).alias("old"), F.split("text", line_dedup.CUT, -1).alias("new")).collect()
+    assert all(r.old == r.new for r in found) and sum(len(r.old) > 3 for r in found) > 100
+
+
+def test_periodic_documents_against_brute_force(spark):
+    """Blocks repeated many times, with breaks, other blocks and parts of the block around them."""
+    rng = random.Random(14)
+    rows, expected, most, left = [], {}, 0, 0
+    for doc in range(120):
+        sizes = [rng.choice([1, 1, 2, 5]) for _ in range(40)]
+        block = [rng.randrange(40) for _ in range(rng.randint(1, 25))]
+        h = [rng.randrange(40) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randint(1, 3)):
+            h += block * rng.randint(3, 15) + block[: rng.randrange(len(block))]
+            h += rng.choice([[], [rng.randrange(40) for _ in range(rng.randrange(20))], h[: rng.randrange(40)]])
+        cut = set()
+        for p in range(1, len(h)):
+            at = p
+            while at < len(h):
+                end = at
+                while end < len(h) and h[end] == h[end - p]:
+                    end += 1
+                if sum(sizes[x] for x in h[at:end]) >= line_dedup.RUN:
+                    cut |= set(range(at, end))
+                at = end + 1
+        # Hashes are spread; in some documents all have the same upper half.
+        spread = [rng.getrandbits(63) for _ in range(40)] if doc % 4 else range(40)
+        rows.append((doc, 0, [spread[x] for x in h], [sizes[x] for x in h]))
+        expected[doc] = cut
+    made = spark.createDataFrame(rows, "doc_id bigint, mark bigint, h array<bigint>, w array<int>")
+    found = {r.doc_id: {i for x in r.runs for i in range(x.start, x.end)} for r in line_dedup.within(made).collect() if r.runs}
+    assert found == {doc: cut for doc, cut in expected.items() if cut}
+    usual = made.select("h", line_dedup._usual_runs(F.col("h"), F.col("w")).alias("u"))
+    rest = usual.select(F.size("h").alias("n"), line_dedup._without_inside(F.col("h"), F.col("h"), F.col("u"))["at"].alias("at"))
+    for r in rest.collect():
+        most, left = most + r.n, left + len(r.at)
+    assert left < 0.8 * most
+
+
+def test_each_line_of_a_pair_is_compared_once(documents):
+    """The plan compares the lines of two documents in one place; they were compared six times for each offset."""
+    rows = documents([(1, "a b c"), (2, "d e f")])
+    made = rows.select(F.array(F.lit(1), F.lit(2)).alias("h"), F.array(F.lit(1), F.lit(3)).alias("met"), F.lit(0).alias("low"), F.array(F.lit(40), F.lit(40)).alias("w"))
+    expression = made.select(line_dedup._runs(F.col("h"), F.col("low"), F.col("met"), F.col("w")).alias("r"))
+    assert expression._jdf.queryExecution().analyzed().toString().count("get(h") == 1
+    assert [tuple(x) for x in expression.first().r] == [(0, 1)]

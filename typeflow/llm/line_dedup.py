@@ -15,7 +15,8 @@ first seen in different documents, each part is compared with its own, and lines
 
 Inside a document, a run of at least ``RUN`` words that stands earlier in it is found exactly, at any distance: such a run
 is made up of the shortest stretches of ``RUN`` words that begin, or end, at each of its lines, and a stretch whose hash
-an earlier one has is deleted.
+an earlier one has is deleted. Of documents that repeat one block over and over only stretches at the ends of the
+repetition are made.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from typeflow.llm.common import saved
 
-#: Between two lines; nothing is taken away, so the lines make up the text again.
-CUT = r"(?<=\n)(?=\S)|(?<=[.!?]\s)(?=\S)|(?<= )(?=\p{Lu}\p{Ll})"
+#: Between two lines; nothing is taken away, so the lines make up the text again. What all cuts have in common comes first:
+#: it rules out most places at once.
+CUT = r"(?<=\s)(?=\S)(?:(?<=\n)|(?<=[.!?]\s)|(?<= )(?=\p{Lu}\p{Ll}))"
 WINDOW = 2
 LONG = 20
 #: Two lines of fewer words are found in texts that have nothing else in common.
 LEAST, MANY = 8, 8
 RUN = 30
+RUNS = "array<struct<start:int,end:int>>"
 
 
 def lines(text: Column) -> Column:
@@ -132,14 +135,17 @@ def matches(rows: DataFrame) -> DataFrame:
     ).agg(F.collect_set(F.col("first.at") - F.col("at")).alias("offsets"))
 
 
-def _runs(same: Column, begin: Column, w: Column) -> Column:
-    """The runs of true in ``same``, whose first element is line ``begin``, as (start, end), ends exclusive, that have
-    ``RUN`` words or more; ``w`` has the words of each line."""
-    differs = F.array_compact(F.transform(same, lambda x, i: F.when(~x, i)))
-    ends = F.concat(F.array(F.lit(-1)), differs, F.array(F.size(same)))
-    runs = _next_to(ends, lambda a, b: F.struct((begin + a + 1).alias("start"), (begin + b).alias("end")))
+def _runs(h: Column, low: Column, met: Column, w: Column) -> Column:
+    """The runs of lines, from line ``low`` on, that are those of ``met``, as (start, end), ends exclusive, that have
+    ``RUN`` words or more; ``w`` has the words of each line, one at least, so ``RUN`` lines needn't be counted."""
     words = lambda x: F.aggregate(F.slice(w, x["start"] + 1, x["end"] - x["start"]), F.lit(0), lambda n, v: n + v)
-    return F.filter(runs, lambda x: (x["end"] > x["start"]) & (words(x) >= RUN))
+
+    def between(ends):
+        runs = _next_to(ends, lambda a, b: F.when(b > a + 1, F.struct((a + 1).alias("start"), b.alias("end"))))
+        return F.filter(runs, lambda x: x.isNotNull() & ((x["end"] - x["start"] >= RUN) | (words(x) >= RUN)))
+
+    differs = F.array_compact(F.transform(met, lambda x, i: F.when(x != F.get(h, low + i), low + i)))
+    return _once(F.concat(F.array(low - 1), differs, F.array(low + F.size(met))), between)
 
 
 def _twice(h: Column) -> Column:
@@ -189,17 +195,51 @@ def _repeated_words(h: Column, w: Column) -> Column:
     return F.aggregate(_once(ordered, places), start, step, lambda acc: acc["most"])
 
 
-def within(rows: DataFrame) -> DataFrame:
-    """The runs of lines of each document that repeat earlier lines of it: ``doc_id``, ``mark``, ``runs`` (null without)."""
-    fewer = F.size("h") - F.size(F.array_distinct("h"))
-    rows = rows.filter((fewer > 0) & (fewer * F.array_max("w") >= RUN))  # others have no words enough in repeated lines
-    rows = rows.filter(_repeated_words(F.col("h"), F.col("w")) >= RUN)
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def _usual_distance(h: Column) -> Column:
+    """The median of the distances from a line to the next one like it (by half of their hashes); null without any."""
+    placed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i)))
+    alike = lambda a, b: F.shiftright(a.bitwiseXOR(b), 32) == 0
+    apart = _once(placed, lambda s: F.array_compact(_next_to(s, lambda a, b: F.when(alike(a, b), (b - a).cast("int")))))
+    return _once(F.sort_array(apart), lambda s: F.get(s, F.shiftright(F.size(s), 1)))
+
+
+def _usual_runs(h: Column, w: Column) -> Column:
+    """The runs of lines that stand one usual distance earlier as well."""
+    return _once(
+        _usual_distance(h), lambda p: F.coalesce(_runs(h, p, F.slice(h, F.lit(1), F.size(h) - p), w), F.array().cast(RUNS))
+    )
+
+
+def _without_inside(h: Column, w: Column, runs: Column) -> Column:
+    """``h``, ``w`` and line numbers ``at`` of the lines that aren't ``RUN`` lines inside one of ``runs``; of the lines left
+    out the first stays, with a hash of its own, so that what is on both sides stays apart."""
+    inside = F.transform(
+        F.filter(runs, lambda x: x["end"] - x["start"] > 2 * RUN),
+        lambda x: F.struct((x["start"] + RUN).alias("start"), (x["end"] - RUN).alias("end")),
+    )
+
+    def others(inside):
+        begin = F.concat(F.array(F.lit(0)), F.transform(inside, lambda x: x["end"]))
+        end = F.concat(F.transform(inside, lambda x: x["start"]), F.array(F.size(h) - 1))
+        return F.flatten(F.zip_with(begin, end, lambda a, b: F.sequence(a, b)))
+
+    def lines_at(inside, at):
+        own = lambda i: F.exists(inside, lambda x: x["start"] == i)
+        hashes = F.transform(at, lambda i: F.when(own(i), F.xxhash64(i, F.lit("left out"))).otherwise(F.get(h, i)))
+        return F.struct(hashes.alias("h"), F.transform(at, lambda i: F.get(w, i)).alias("w"), at.alias("at"))
+
+    return _once(inside, lambda x: _once(others(x), lambda at: lines_at(x, at)))
+
+
+def _repeats(h: Column, w: Column, line: Column) -> Column:
+    """The runs of lines that repeat earlier ones, by stretches; ``line`` has the lines' numbers."""
+    none = F.array().cast(RUNS)
 
     def later(s):
         """The stretches whose hash one before them has, in order."""
+        end = lambda x: F.get(line, x["at"] + x["n"] - 1) + 1
         return F.sort_array(F.array_compact(_next_to(s, lambda a, b: F.when(
-            a["hash"] == b["hash"], F.struct(b["at"].alias("start"), (b["at"] + b["n"]).alias("end"))
+            a["hash"] == b["hash"], F.struct(F.get(line, b["at"]).alias("start"), end(b).alias("end"))
         ))))
 
     def step(acc, x):
@@ -220,10 +260,33 @@ def within(rows: DataFrame) -> DataFrame:
         return F.when(F.size(found) > 0, runs)
 
     # Every line of a stretch that stands twice is there twice; lines that aren't have no words here.
-    words = F.zip_with("w", _twice(F.col("h")), lambda n, twice: F.when(twice, n))
-    stretches = _once(words, lambda w: F.concat(_stretches(F.col("h"), w, 1), _stretches(F.col("h"), w, -1)))
-    runs = _once(F.sort_array(F.array_compact(stretches)), lambda s: _once(later(s), united))
-    return rows.select("doc_id", "mark", runs.alias("runs"))
+    words = F.zip_with(w, _twice(h), lambda n, twice: F.when(twice, n))
+    stretches = _once(words, lambda w: F.concat(_stretches(h, w, 1), _stretches(h, w, -1)))
+    return _once(F.sort_array(F.array_compact(stretches)), lambda s: _once(later(s), united))
+
+
+def _may_repeat(h: Column, w: Column) -> Column:
+    """False where a document has no words enough in repeated lines."""
+    return (F.size(h) - F.size(F.array_distinct(h))) * F.array_max(w) >= RUN
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """The runs of lines of each document that repeat earlier lines of it: ``doc_id``, ``mark``, ``runs`` (they may overlap).
+
+    Long repetition is mostly of one block over and over, so the runs at the usual distance between like lines are
+    taken first. A stretch inside such a run is deleted, and what it repeats stands a distance earlier too, and
+    so on until before the run: so stretches that reach out of these runs are compared among themselves, and lines
+    farther inside than a stretch is long are left out.
+    """
+    h, w = F.col("h"), F.col("w")
+
+    def others(usual):
+        rest = _without_inside(h, w, usual)
+        may = lambda s: _may_repeat(s["h"], s["w"]) & (_repeated_words(s["h"], s["w"]) >= RUN)
+        return _once(rest, lambda s: F.when(may(s), _repeats(s["h"], s["w"], s["at"])))
+
+    runs = _once(_usual_runs(h, w), lambda usual: F.concat(usual, F.coalesce(others(usual), F.array().cast(RUNS))))
+    return rows.filter(_may_repeat(h, w)).select("doc_id", "mark", runs.alias("runs"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -239,9 +302,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     met = both.select("doc_id", "mark", low.alias("low"), F.slice("from_h", low + F.col("offset") + 1, high - low).alias("met"))
     mine = rows.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "h", "w")
     along = met.join(mine, met["doc_id"].eqNullSafe(mine["own_id"]) & (met["mark"] == mine["own_mark"]))
-    low = F.col("low")
-    same = F.zip_with(F.slice("h", low + 1, F.size("met")), "met", lambda a, b: a == b)
-    across = along.select("doc_id", "mark", _runs(same, low, F.col("w")).alias("runs"))
+    across = along.select("doc_id", "mark", _runs(F.col("h"), F.col("low"), F.col("met"), F.col("w")).alias("runs"))
     return (
         across.unionByName(within(rows))
         .select("doc_id", "mark", F.explode_outer("runs").alias("run"))
