@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from typeflow.llm import jaccard, line_dedup, packing, secrets, toxicity
 from typeflow.llm.catalog import vocabulary
-from typeflow.llm.common import Intermediates, importable, saved, table
+from typeflow.llm.common import Intermediates, importable, saved, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,11 +23,12 @@ _earlier = Intermediates()
 
 
 def stage(function: Stage) -> Stage:
-    """A stage that first removes what the one before left."""
+    """A stage that first removes what the one before left. Texts go to Python in small batches."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         importable(spark)
+        small_batches(spark)
         _earlier.remove(spark)
         with _earlier:
             return function(spark, docs, sf_dir)

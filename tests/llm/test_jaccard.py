@@ -175,3 +175,18 @@ def test_components_take_few_rounds(spark, monkeypatch, shape):
         lowest[high] = low
     assert found == {node: root(node) for node in lowest}
     assert written.count("edges") - 1 <= 20
+
+
+def test_common_members_are_the_same_whatever_the_batches(spark, documents):
+    rng = random.Random(20)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs = documents([words(6) + (" one line that some documents have" if i % 50 == 0 else "") for i in range(1000)]).coalesce(1)
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for rows in (10_000, 70):
+            spark.conf.set(key, str(rows))
+            found.append(jaccard.common_members(docs, 4, 0.02).tolist())
+    finally:
+        spark.conf.set(key, before)
+    assert len(found[0]) == 3 and found[0] == found[1]

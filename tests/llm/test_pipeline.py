@@ -59,3 +59,24 @@ def test_registered_queries_run_over_whole_tables(spark, name):
     if name == "op2_neighbours":
         whole = {i for i in whole if i % 20 == 0}
     assert found == whole if name != "pipeline" else found <= whole
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, documents):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    @corpus_pipeline.stage
+    def sizes(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (b.select(["doc_id"]) for b in batches for _ in [assert_small(b)]), "doc_id bigint")
+
+    def assert_small(batch):
+        assert batch.num_rows <= 1000
+
+    try:
+        spark.conf.set(key, "10000")
+        assert sizes(spark, documents(["a"] * 3000).coalesce(1), "").count() == 3000
+        spark.conf.set(key, "200")
+        sizes(spark, documents(["a"]), "")
+        assert spark.conf.get(key) == "200"
+    finally:
+        spark.conf.set(key, before)

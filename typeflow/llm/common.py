@@ -24,6 +24,21 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+#: Rows that Python workers get at a time in :func:`small_batches`: texts of 2 KB make some 2 MB, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Python workers get ``BATCH_ROWS`` rows at a time, or fewer if that is what it says.
+
+    Each running task holds a batch several times (Arrow's buffers double while they fill, on both sides), beside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _written: list[str] = []
 
 

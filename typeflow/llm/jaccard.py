@@ -48,6 +48,8 @@ SMALL, MIDDLE = 8, 9
 COMMON = 1 / 2000
 #: Rows without a doc_id get keys from here on.
 UNNAMED = 1 << 62
+#: Rows that members are counted over at a time, to find those that may be common, and their members, about.
+COUNTED, COUNTED_MEMBERS = 10_000, 4_000_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -171,17 +173,27 @@ def _key() -> Column:
 
 
 def common_members(docs: DataFrame, words: int, share: float = COMMON) -> np.ndarray:
-    """Members that ``share`` of all documents have, sorted. Counted over all of them, and combined in each batch; what
-    is rare in every batch isn't counted, which costs time at most: any set of members will do."""
+    """Members that ``share`` of all documents have, sorted. Counted over all of them, and combined over ``COUNTED``
+    rows or the rest of a task, whatever the batches; what is rare in each of these isn't counted, which costs time at most:
+    any set of members will do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        shingles, some, held = Shingler(words), [], 0
         for batch in batches:
-            some = [shingles(text.as_py()) for text in batch.column(0)]
-            member, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.zeros(0, np.uint64),) * 2
-            often = n >= max(4, share * len(batch))
-            columns = [pa.array(member[often].view(np.int64)), pa.array(n[often].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["member", "n"])
+            for text in batch.column(0):
+                some.append(shingles(text.as_py()))
+                held += len(some[-1])
+                if len(some) == COUNTED or held >= COUNTED_MEMBERS:
+                    yield often(some)
+                    some, held = [], 0
+        if some:
+            yield often(some)
+
+    def often(some: list[np.ndarray]) -> pa.RecordBatch:
+        member, n = np.unique(np.concatenate(some), return_counts=True)
+        kept = n >= max(4, share * len(some))
+        columns = [pa.array(member[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["member", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "member bigint, n bigint")
     least = share * docs.count()
