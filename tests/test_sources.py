@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -11,6 +13,7 @@ from tests.rows import same_rows
 from typeflow.functions.keys import key_category
 from typeflow.operators.evolution import add_tags
 from typeflow.operators.sites import top_sites
+from typeflow.plans import catalog
 from typeflow.schema import KEY_EVENTS, RAW_REQUEST, TYPING_EVENTS
 from typeflow.session import new_folder
 from typeflow.sources.events import (
@@ -23,6 +26,7 @@ from typeflow.sources.events import (
     write_records,
 )
 from typeflow.sources.key_csv import key_preview, read_key_csv, write_key_csv
+from typeflow.sources.tables import SCHEMAS
 
 HEADER = "Timestamp,Interval_ns,SeqNum,App,Title,Category\n"
 
@@ -266,6 +270,34 @@ def test_csv_round_trip(spark):
     same_rows(read_key_csv(spark, path), expected, KEY_EVENTS.names)
 
 
+def test_gzip_drops_are_read_as_plain_ones(spark, tmp_path):
+    path = large_csv(tmp_path, 5)
+    expected = read_key_csv(spark, path).collect()
+    drops = new_folder(spark, "csv")
+    write_key_csv(read_key_csv(spark, path), drops, rows_per_file=100, compressed=True)
+    assert len(glob.glob(f"{drops}/*.csv.gz")) >= 8 and not glob.glob(f"{drops}/*.csv")
+    for split in (True, False):
+        found = read_key_csv(spark, drops, split=split).collect()
+        defaults = [r.asDict() | {"Title": r.Title or "Untitled"} for r in expected]
+        assert sorted(map(str, (r.asDict() for r in found))) == sorted(map(str, defaults))
+
+
+def test_the_drops_of_key_events_with_gaps_take_less_disk_than_their_titles(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices('abcdef ",\n', k=2000)) for _ in range(200)]
+    documents = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
+    events = [(i, AS_OF + timedelta(seconds=i), i % 7, "click", 1.0, None) for i in range(200)]
+    for name, rows in (("documents", documents), ("events", events)):
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(catalog, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    kev = catalog.queries()["q38_key_csv_gaps"](spark, str(tmp_path))
+    found = {r.Timestamp: r for r in kev.collect()}
+    assert [found[AS_OF + timedelta(seconds=i)].Title for i in range(200)] == [f'"a", {text}' for text in texts]
+    assert [r.SeqNum for _, r in sorted(found.items())] == [0 if i % 3 else None for i in range(200)]
+    written = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/key-csv-gaps/part-*"))
+    assert 0 < written < 0.7 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize(
     ("kind", "code", "category"),
     [

@@ -196,7 +196,7 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "key-csv-gaps")
-    write_key_csv(key_events_with_gaps(spark, sf_dir), path, 10_000, zone="Europe/Paris")
+    write_key_csv(key_events_with_gaps(spark, sf_dir), path, 10_000, zone="Europe/Paris", compressed=True)
     kev = read_key_csv(spark, path, zone="Europe/Paris")
     return kev.select(
         "Timestamp", F.col("Interval_ns").cast("long").alias("Interval_ns"), "SeqNum", "App", "Title", "Category"
